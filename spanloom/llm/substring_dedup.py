@@ -2,17 +2,17 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id.
 
-1. Every window of LENGTH bytes has an anchor, the K-byte string in it with the least hash, so equal windows have equal anchors. Anchors are dealt by their hash;
-   those met in two documents or more are candidates. All others, most of the corpus, need no suffix sorting.
-2. Candidates are joined to their texts and each becomes a segment, the bytes of all windows that it anchors. Of equal segments the one in the
-   smallest document stays, first within a task, then within a bucket; the others' windows are settled.
-3. In each bucket, the segments of an anchor that has several make a text T. Its suffixes are sorted, and breadth-first backward
+1. Every window of LENGTH bytes has an anchor, the K-byte string in it with the least hash, so equal windows have equal anchors. The windows of one
+   anchor make a segment. Anchors are dealt by their hash. Of segments with equal 64-bit hashes under one anchor, the one in the
+   smallest document stays, first within a task, then within a bucket; the others' windows are settled. Most of the corpus ends here.
+2. What stays under an anchor with several different segments is looked up in the texts and dealt again, now as bytes. Windows whose hash no other document has are left out.
+3. The rest of a bucket makes texts T of bounded size, unless one anchor has more. The suffixes of T are sorted, and breadth-first backward
    extension over the transform derives the common prefixes by increasing value: the intervals of all strings of one more byte follow from those of
    one byte less, and the expansion stops at LENGTH or when no interval splits. The intervals of that depth are the equal windows; all but
    those of the smallest document in an interval are removed.
-4. Windows meet their texts again by the same shuffle of the texts, which Spark runs once for both joins.
+4. Windows meet their texts again by shard, a hash of the row. Texts are shuffled once; Spark reuses that exchange.
 
-Windows are compared by their bytes; hashes only bring candidates together.
+Different segments are compared by their bytes. Equal ones are told by 64-bit hashes under one anchor, whose 48-bit hash is independent.
 
 Defined cases: a null text counts as empty; a null id comes after all others; rows with equal ids don't remove from each
 other; texts shorter than LENGTH stay whole; an empty table gives an empty result; other columns are ignored.
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table, units_of
+from spanloom.llm.common import stored, table, units_of
 
 LENGTH, K = 50, 16
 #: Bytes hashed at once, bytes of text between a task's flushes, and bytes of T sorted at once (an anchor's segments stay together).
-CHUNK, FLUSH, SORTED = 1 << 19, 16 << 20, 2 << 20
+CHUNK, FLUSH, SORTED = 1 << 19, 16 << 20, 1 << 18
 MOST_BUCKETS = 1 << 16
 _LAST = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,128 +87,237 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield who, base, parts
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    up = np.cumprod(np.full(n + 1, _M1), dtype=np.uint64)
+    down = np.cumprod(np.full(n + 1, np.uint64(pow(int(_M1), -1, 1 << 64))), dtype=np.uint64)
+    return up, down
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M2
+    return x ^ (x >> np.uint64(29))
+
+
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings buf[start:end], from one pass over buf."""
+    up, down = _powers(len(buf))
+    sums = np.r_[np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)]
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
+
+
 def _records(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """All anchors of the texts: text number, hash, position, bytes from the first and last window start to it."""
+    """All segments of the texts: text number, anchor's hash, segment's hash, first window's start and number of windows."""
     out = []
     for who, base, parts in _pieces(texts, length):
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes)
-        at, h, lo, hi = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length, k)
+        buf = np.frombuffer(b"".join(parts), np.uint8)
+        at, h, lo, hi = anchors(buf, ends, length, k)
         if len(at):
-            own = np.searchsorted(ends, at, side="right")
+            own = np.searchsorted(ends, lo, side="right")
             shift = np.array(base)[own] - (ends - sizes)[own]
-            out.append((np.array(who)[own], h, at + shift, at - lo, at - hi))
+            out.append((np.array(who)[own], h, range_hashes(buf, lo, hi + length), lo + shift, hi - lo + 1))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 5
 
 
-_HELD = [("h", "<u4"), ("doc", "<u4"), ("pos", "<u8"), ("a", "u1"), ("b", "u1")]
+def _packed(cols: dict[str, np.ndarray], kinds: dict[str, str]) -> bytes:
+    return b"".join(np.ascontiguousarray(cols[c].astype(t)).tobytes() for c, t in kinds.items())
 
 
-def _scan(buckets: int, length: int, k: int):
-    """Rows of id and text to one row for each bucket and flush, with the records as bytes."""
+def _unpacked(blobs: list[bytes], kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    size, out = sum(np.dtype(t).itemsize for t in kinds.values()), {c: [] for c in kinds}
+    for blob in blobs:
+        n, at = len(blob) // size, 0
+        for c, t in kinds.items():
+            out[c].append(np.frombuffer(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {c: np.concatenate(v) if v else np.empty(0, kinds[c]) for c, v in out.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[tuple[int, int]] = []
-        texts: list[bytes] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            who, h, pos, a, b = _records(texts, length, k)
-            if not len(who):
-                return
-            bucket = (h.astype(np.uint64) * np.uint64(buckets)) >> np.uint64(48)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            rows = []
-            for part in np.split(order, cuts):
-                docs, local = np.unique(who[part], return_inverse=True)
-                r = {"h": h[part] & np.uint64(0xFFFFFFFF), "doc": local, "pos": pos[part], "a": a[part], "b": b[part]}
-                names = np.array([ids[d] for d in docs], np.int64)
-                rows.append((int(bucket[part[0]]), names.tobytes(), b"".join(r[c].astype(t).tobytes() for c, t in _HELD)))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "docs", "held"])
 
+def _dealt(where: np.ndarray) -> list[np.ndarray]:
+    """Places of rows by the bucket or shard that they go to."""
+    if not len(where):
+        return []
+    order = np.argsort(where, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(where[order])) + 1)
+
+
+def _classes(h: np.ndarray, seg: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by anchor and segment; then, in that order, whether the row's document is the least of its segment, and bounds of segments and anchors."""
+    order = np.argsort((h.astype(np.uint64) << np.uint64(32)) | (seg >> np.uint64(32)), kind="stable")
+    h, seg, ids = h[order], seg[order], ids[order]
+    anchor = np.r_[True, h[1:] != h[:-1]]
+    own = anchor | np.r_[True, seg[1:] != seg[:-1]]
+    first = np.flatnonzero(own)
+    least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(h)]))
+    return order, ids == least, own, anchor
+
+
+#: Records of a bucket: anchor (its low 32 bits), segment, place of the document in the list beside them, first window, number of windows.
+_SEEN = {"h": "<u4", "seg": "<u8", "doc": "<u4", "lo": "<u8", "n": "u1"}
+#: Windows that go, and segments whose bytes are wanted, by row.
+_GONE = {"row": "<i8", "lo": "<u8", "n": "u1"}
+_OPEN = {"row": "<i8", "lo": "<u8", "n": "u1", "anchor": "<u8"}
+_BYTES = {"id": "<i8", "row": "<i8", "lo": "<u8", "n": "u1", "anchor": "<u8"}
+_OUT = "shard long, gone binary, open binary"
+
+
+def _blobs(names: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, names.values(), strict=True)], names=list(names))
+
+
+def _scan(buckets: int, shards: int, length: int, k: int):
+    """Rows of id, row and text to one row for each bucket and flush, with the records as bytes."""
+    names = {"bucket": "long", "docs": "binary", "seen": "binary", "gone": "binary"}
+
+    def flush(ids: list[tuple[int, int]], texts: list[bytes]) -> pa.RecordBatch:
+        who, h, seg, lo, n = _records(texts, length, k)
+        out = []
+        if len(who):
+            doc = np.array(ids, np.int64)
+            h = h.astype(np.uint64)
+            bucket = ((h * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64)
+            for part in _dealt(bucket):
+                order, least, _, _ = _classes(h[part] & np.uint64(0xFFFFFFFF), seg[part], doc[who[part], 0])
+                part, kept = part[order], least
+                mine, gone = part[kept], part[~kept]
+                docs, local = np.unique(who[mine], return_inverse=True)
+                cols = {"h": h[mine] & np.uint64(0xFFFFFFFF), "seg": seg[mine], "doc": local, "lo": lo[mine], "n": n[mine]}
+                out.append((int(bucket[part[0]]), doc[docs].tobytes(), _packed(cols, _SEEN), _packed({"row": doc[who[gone], 1], "lo": lo[gone], "n": n[gone]}, _GONE)))
+        return _blobs(names, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held = [], [], 0
         for batch in batches:
-            for i, t, h in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["h"].to_pylist(), strict=True):
+            for i, row, t in zip(batch["id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if len(t) < length:
                     continue
-                ids.append((i, h))
+                ids.append((i, row))
                 texts.append(t)
                 held += len(t)
                 if held >= FLUSH:
-                    yield from flush()
+                    yield flush(ids, texts)
                     ids, texts, held = [], [], 0
-        yield from flush()
+        yield flush(ids, texts)
 
     return run
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """A bucket's records whose anchor lies in two documents or more."""
-    size = sum(np.dtype(x).itemsize for _, x in _HELD)
-    cols: dict[str, list] = {c: [] for c, _ in _HELD} | {"id": [], "key": []}
-    for docs, held in zip(t["docs"].to_pylist(), t["held"].to_pylist(), strict=True):
-        names, n, at = np.frombuffer(docs, np.int64).reshape(-1, 2), len(held) // size, 0
-        for c, x in _HELD:
-            width = np.dtype(x).itemsize
-            cols[c].append(np.frombuffer(held, x, n, at))
-            at += n * width
-        own = cols["doc"][-1]
-        cols["id"].append(names[own, 0])
-        cols["key"].append(names[own, 1])
-    c = {k: np.concatenate(v) for k, v in cols.items()}
-    order = np.argsort(c["h"], kind="stable")
-    h, ids = c["h"][order], c["id"][order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-    got = order[np.repeat(several, np.diff(np.r_[first, len(h)]))]
-    where = (c["pos"][got].astype(np.int64) << 16) | (c["a"][got].astype(np.int64) << 8) | c["b"][got].astype(np.int64)
-    anchor = (t["bucket"][0].as_py() << 32) | c["h"][got].astype(np.int64)
-    return pa.Table.from_arrays([pa.array(c["id"][got]), pa.array(c["key"][got]), pa.array(anchor), pa.array(where)], names=["id", "h", "anchor", "place"])
-
-
-def _segments(length: int):
-    """Texts with their shared anchors to one row for each segment that differs, and the windows settled on the way (no segment)."""
+def _settle(shards: int):
+    """A bucket's records to settled windows, and to segments that are wanted as bytes, by shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, bytes], list] = {}
-        settled: list[tuple] = []
-        held = 0
+    def run(t: pa.Table) -> pa.Table:
+        seen = t["seen"].to_pylist()
+        c, sizes = _unpacked(seen, _SEEN), [len(x) // sum(np.dtype(k).itemsize for k in _SEEN.values()) for x in seen]
+        names = [np.frombuffer(d, np.int64).reshape(-1, 2) for d in t["docs"].to_pylist()]
+        step = np.repeat(np.cumsum([0, *map(len, names)][:-1]), sizes)
+        doc = np.concatenate(names)[c["doc"].astype(np.int64) + step] if len(c["h"]) else np.empty((0, 2), np.int64)
+        gone = _unpacked(t["gone"].to_pylist(), _GONE)
+        wanted = np.empty(0, np.int64)
+        if len(doc):
+            order, least, own, anchor = _classes(c["h"], c["seg"], doc[:, 0])
+            first = np.flatnonzero(anchor)
+            several = np.repeat(np.add.reduceat(own, first) > 1, np.diff(np.r_[first, len(own)]))
+            late, wanted = order[~least], order[least & several]
+            gone = {"row": np.r_[gone["row"], doc[late, 1]], "lo": np.r_[gone["lo"], c["lo"][late]], "n": np.r_[gone["n"], c["n"][late]]}
+        high = np.uint64(t["bucket"][0].as_py() << 32)
+        asked = {"row": doc[wanted, 1], "lo": c["lo"][wanted], "n": c["n"][wanted], "anchor": c["h"][wanted].astype(np.uint64) | high}
+        out = [(int(gone["row"][p[0]] % shards), _packed({k: v[p] for k, v in gone.items()}, _GONE), b"") for p in _dealt(gone["row"] % shards)]
+        out += [(int(asked["row"][p[0]] % shards), b"", _packed({k: v[p] for k, v in asked.items()}, _OPEN)) for p in _dealt(asked["row"] % shards)]
+        return pa.Table.from_batches([_blobs({"shard": "long", "gone": "binary", "open": "binary"}, out)])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(anchor, i, h, at, 0, seg) for (anchor, seg), (i, h, at) in kept.items()] + settled
-            for s in range(0, len(rows), 50_000):
-                cols = list(zip(*rows[s : s + 50_000], strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "id", "h", "lo", "n", "seg"])
+    return run
 
-        for batch in batches:
-            for i, h, t, found in zip(*(batch[c].to_pylist() for c in ("id", "h", "text", "anchors")), strict=True):
-                for x in sorted(found, key=lambda x: x["place"]):
-                    place = x["place"]
-                    pos, a, b = place >> 16, place >> 8 & 255, place & 255
-                    seg = t[pos - a : pos - b + length]
-                    had = kept.get((x["anchor"], seg))
-                    if had is None:
-                        kept[x["anchor"], seg] = [i, h, [pos - a]]
-                    elif had[:2] == [i, h]:
-                        had[2].append(pos - a)
-                    elif had[0] <= i and had[0] != i:
-                        settled.append((x["anchor"], i, h, [pos - a], a - b + 1, None))
-                    elif had[0] != i:
-                        settled += [(x["anchor"], had[0], had[1], had[2], a - b + 1, None)]
-                        kept[x["anchor"], seg] = [i, h, [pos - a]]
-                    else:  # another row with the same id: both stay candidates
-                        settled.append((x["anchor"], i, h, [pos - a], 0, seg))
-                held += len(found) * 120
-            if held >= 4 * FLUSH:
-                yield from flush()
-                kept, settled, held = {}, [], 0
-        yield from flush()
+
+def _fetch(length: int):
+    """A shard's texts and wanted segments to the segments' bytes, by bucket."""
+
+    def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        c, out = _unpacked(wanted["open"].to_pylist(), _OPEN), []
+        if len(c["row"]) and len(texts):
+            rows = {r: (i, t) for r, i, t in zip(texts["row"].to_pylist(), texts["id"].to_pylist(), texts["text"].to_pylist(), strict=True)}
+            for p in _dealt((c["anchor"] >> np.uint64(32)).astype(np.int64)):
+                row, lo, n = c["row"][p], c["lo"][p], c["n"][p]
+                own = [rows[r] for r in row.tolist()]
+                data = b"".join(t[s : s + w + length - 1] for (_, t), s, w in zip(own, lo.tolist(), n.tolist(), strict=True))
+                cols = {"id": np.array([i for i, _ in own], np.int64), "row": row, "lo": lo, "n": n, "anchor": c["anchor"][p]}
+                out.append((int(c["anchor"][p[0]] >> np.uint64(32)), _packed(cols, _BYTES), data))
+        return pa.Table.from_batches([_blobs({"bucket": "long", "held": "binary", "data": "binary"}, out)])
+
+    return run
+
+
+def _expand(shards: int, length: int):
+    """A bucket's segments as bytes to the windows that go, by shard."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c = _unpacked(t["held"].to_pylist(), _BYTES)
+        data = np.frombuffer(b"".join(t["data"].to_pylist()), np.uint8)
+        sizes = c["n"].astype(np.int64) + length - 1
+        base = np.cumsum(np.r_[0, sizes[:-1]])
+        order = np.argsort(c["anchor"], kind="stable")
+        anchor = c["anchor"][order]
+        whole = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(order)]
+        reach = np.r_[0, np.cumsum(sizes[order])][whole]
+        out, a = [], 0
+        while a < len(whole) - 1:
+            b = max(a + 1, int(np.searchsorted(reach, reach[a] + SORTED, side="right")) - 1)
+            out += _removed(c, data, base, order[whole[a] : whole[b]], length)
+            a = b
+        gone = {k: np.concatenate([o[k] for o in out]) if out else np.empty(0, _GONE[k]) for k in _GONE}
+        rows = [(int(gone["row"][p[0]] % shards), _packed({k: v[p] for k, v in gone.items()}, _GONE), b"") for p in _dealt(gone["row"] % shards)]
+        return pa.Table.from_batches([_blobs({"shard": "long", "gone": "binary", "open": "binary"}, rows)])
 
     return run
 
 
+def _removed(c: dict[str, np.ndarray], data: np.ndarray, base: np.ndarray, segs: np.ndarray, length: int) -> list[dict]:
+    n = c["n"][segs].astype(np.int64)
+    owner = np.repeat(np.arange(len(segs)), n)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, n[:-1]]), n)
+    # windows that two documents may share, by hash; a segment is kept from its first to its last
+    sizes = n + length - 1
+    at = np.cumsum(np.r_[0, sizes[:-1]])
+    buf = data[np.repeat(base[segs] - at, sizes) + np.arange(int(sizes.sum()))]
+    start = at[owner] + inner
+    hashes, ids = range_hashes(buf, start, start + length), c["id"][segs]
+    order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
+    by = ids[owner[order]]
+    live = np.zeros(len(owner), bool)
+    live[order] = np.repeat(np.minimum.reduceat(by, first) != np.maximum.reduceat(by, first), np.diff(np.r_[first, len(by)]))
+    shared = np.flatnonzero(live)
+    if not len(shared):
+        return []
+    mine, where = np.unique(owner[shared], return_index=True)
+    lo = inner[shared[where]]
+    hi = inner[shared[np.r_[where[1:], len(shared)] - 1]]
+    # the text T, and its windows
+    width = hi - lo + length
+    begin = np.cumsum(np.r_[0, width[:-1] + 1])
+    text = np.zeros(int(width.sum()) + len(mine), np.int16)
+    spot = np.arange(int(width.sum())) - np.repeat(np.cumsum(np.r_[0, width[:-1]]), width)
+    text[np.repeat(begin, width) + spot] = buf[np.repeat(at[mine] + lo, width) + spot].astype(np.int16) + 1
+    kind, _ = equal_windows(text, length)
+    count = hi - lo + 1
+    seg = np.repeat(np.arange(len(mine)), count)
+    step = np.arange(len(seg)) - np.repeat(np.cumsum(np.r_[0, count[:-1]]), count)
+    cls, doc = kind[begin[seg] + step], ids[mine][seg]
+    least = np.full(int(kind.max()) + 1, _LAST, np.int64)
+    np.minimum.at(least, cls, doc)
+    gone = np.flatnonzero(doc > least[cls])
+    if not len(gone):
+        return []
+    new = np.r_[True, (np.diff(gone) != 1) | (np.diff(seg[gone]) != 0)]
+    a = gone[new]
+    z = gone[np.r_[np.flatnonzero(new)[1:], len(gone)] - 1]
+    own = segs[mine[seg[a]]]
+    return [{"row": c["row"][own], "lo": c["lo"][own].astype(np.int64) + lo[seg[a]] + step[a], "n": step[z] - step[a] + 1}]
+
+
 def equal_windows(t: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For a text of symbols (0 separates), the class of each position by its first bytes, and the common prefixes in suffix order, up to length."""
     n = len(t)
@@ -219,7 +328,7 @@ def equal_windows(t: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.n
         rank = rank * 257 + wide[i : i + n]
     depth = 7
     while True:  # suffix order by prefix doubling, as deep as the threshold
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)  # equal ones in any order
         dense = np.cumsum(np.r_[False, rank[order][1:] != rank[order][:-1]])
         rank = np.empty(n, np.int64)
         rank[order] = dense
@@ -231,12 +340,12 @@ def equal_windows(t: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.n
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     # the place from which backward extension by its first symbol leads to a place
-    source = place[np.minimum(order + 1, n - 1)]
+    source = place[np.minimum(order + 1, n - 1)].astype(np.int32)
     first = t[order]
     cut = np.r_[True, first[1:] != first[:-1]]
     lcp = np.where(cut, 0, -1)
     for value in range(1, length):
-        group = np.cumsum(cut)[source]
+        group = np.cumsum(cut, dtype=np.int32)[source]
         new = cut | np.r_[True, group[1:] != group[:-1]]
         fresh = new & ~cut
         if not fresh.any():
@@ -246,70 +355,6 @@ def equal_windows(t: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.n
     return np.cumsum(cut)[place], lcp
 
 
-def _expand(length: int):
-    """A bucket's segments to the windows that go: id, h, and the range of their starts."""
-
-    def run(t: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        groups: dict[int, dict[bytes, list]] = {}
-        for anchor, i, h, lo, n, seg in zip(*(t[c].to_pylist() for c in ("anchor", "id", "h", "lo", "n", "seg")), strict=True):
-            if seg is None:
-                out += [(i, h, s, s + n - 1) for s in lo]
-            else:
-                groups.setdefault(anchor, {}).setdefault(seg, []).append((i, h, lo))
-        todo: list[list[tuple[bytes, int, list]]] = []
-        for segs in groups.values():
-            mine = []
-            for seg, rows in segs.items():
-                least = min(r[0] for r in rows)
-                for i, h, lo in rows:
-                    if i != least:
-                        out += [(i, h, s, s + len(seg) - length) for s in lo]
-                mine.append((seg, least, [r for r in rows if r[0] == least]))
-            if len(mine) > 1:
-                todo.append(mine)
-        batch, held = [], 0
-        for mine in [*todo, None]:
-            if mine is None or held > SORTED:
-                if batch:
-                    out += _removed(batch, length)
-                batch, held = [], 0
-            if mine:
-                batch += mine
-                held += sum(len(m[0]) + 1 for m in mine)
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "h", "lo", "hi"])
-
-    return run
-
-
-def _removed(segs: list[tuple[bytes, int, list]], length: int) -> list[tuple]:
-    text = np.zeros(sum(len(s[0]) + 1 for s in segs), np.int16)
-    sizes = np.array([len(s[0]) for s in segs])
-    base = np.cumsum(np.r_[0, sizes[:-1] + 1])
-    raw = np.frombuffer(b"\0".join(s[0] for s in segs) + b"\0", np.uint8)
-    text[:] = raw.astype(np.int16) + 1
-    text[base + sizes] = 0
-    kind, _ = equal_windows(text, length)
-    windows = sizes - length + 1
-    owner = np.repeat(np.arange(len(segs)), windows)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, windows[:-1]]), windows)
-    doc = np.array([s[1] for s in segs], np.int64)[owner]
-    cls = kind[base[owner] + inner]
-    least = np.full(int(kind.max()) + 1, _LAST, np.int64)
-    np.minimum.at(least, cls, doc)
-    gone = np.flatnonzero(doc > least[cls])
-    if not len(gone):
-        return []
-    cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(owner[gone]) != 0)) + 1
-    out = []
-    for a, b in zip(np.r_[0, cut], np.r_[cut, len(gone)], strict=True):
-        first, last = inner[gone[a]], inner[gone[b - 1]]
-        for i, h, lo in segs[owner[gone[a]]][2]:
-            out += [(i, h, int(s + first), int(s + last)) for s in lo]
-    return out
-
-
 def spans_of(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Ranges of window starts to the maximal runs of bytes [start, end) that they cover."""
     out: list[tuple[int, int]] = []
@@ -323,30 +368,30 @@ def spans_of(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, the text as bytes and spans, the runs [start, end) of its bytes that go."""
-    buckets = min(MOST_BUCKETS, units_of(docs))
+    shards = units_of(docs)
+    buckets = min(MOST_BUCKETS, shards)
     rows = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
-    )
-    scanned = rows.select("id", "h", "text").mapInArrow(_scan(buckets, length, k), "bucket long, docs binary, held binary")
-    shared = scanned.groupBy("bucket").applyInArrow(_shared, "id long, h long, anchor long, place long")
-    lists = shared.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "place")).alias("anchors"))
-    segments = rows.join(lists, ["id", "h"]).select("id", "h", "text", "anchors").mapInArrow(
-        _segments(length), "anchor long, id long, h long, lo array<long>, n long, seg binary"
-    )
-    segments = segments.withColumn("bucket", F.shiftright("anchor", 32))
-    gone = segments.groupBy("bucket").applyInArrow(_expand(length), "id long, h long, lo long, hi long")
-    ranges = gone.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = rows.join(ranges, ["id", "h"], "left").select("doc_id", "text", "ranges")
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
+        F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+    ).withColumn("shard", F.pmod("row", F.lit(shards)))
+    texts = rows.groupBy("shard")
+    scanned = rows.select("id", "row", "text").mapInArrow(_scan(buckets, shards, length, k), "bucket long, docs binary, seen binary, gone binary")
+    settled = stored(scanned.groupBy("bucket").applyInArrow(_settle(shards), _OUT), "substring-settled")
+    wanted = settled.filter(F.length("open") > 0).groupBy("shard")
+    fetched = texts.cogroup(wanted).applyInArrow(_fetch(length), "bucket long, held binary, data binary")
+    found = fetched.groupBy("bucket").applyInArrow(_expand(shards, length), _OUT)
+    gone = settled.filter(F.length("gone") > 0).unionByName(found).groupBy("shard")
+
+    def cover(texts: pa.Table, gone: pa.Table) -> pa.Table:
+        c = _unpacked(gone["gone"].to_pylist(), _GONE)
+        by: dict[int, list] = {}
+        for row, lo, n in zip(c["row"].tolist(), c["lo"].tolist(), c["n"].tolist(), strict=True):
+            by.setdefault(row, []).append((lo, lo + n - 1))
+        spans = [[{"start": s, "end": e} for s, e in spans_of(by.get(r, []), length)] for r in texts["row"].to_pylist()]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            spans = [[{"start": s, "end": e} for s, e in spans_of([(r["lo"], r["hi"]) for r in x or []], length)] for x in batch["ranges"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(spans, kind)], names=["doc_id", "text", "spans"])
+        return pa.Table.from_arrays([texts["doc_id"], texts["text"], pa.array(spans, kind)], names=["doc_id", "text", "spans"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, spans array<struct<start:long,end:long>>"
-    return joined.mapInArrow(cover, schema)
+    return texts.cogroup(gone).applyInArrow(cover, "doc_id long, text binary, spans array<struct<start:long,end:long>>")
 
 
 def digests(spans: DataFrame) -> DataFrame:
