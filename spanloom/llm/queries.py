@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import chat_format, exact_dedup, language_id, mixing, packing, substring_dedup, token_counts, topk, toxicity
+from spanloom.llm import chat_format, exact_dedup, language_id, mixing, near_dedup, packing, substring_dedup, token_counts, topk, toxicity
 from spanloom.llm.common import prepare
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         token_counts.op4_token_counts,
         toxicity.op5_toxicity,
         language_id.op6_language_id,
+        near_dedup.op7_near_dedup,
         mixing.op8_mixing,
         exact_dedup.op9_exact_dedup,
         substring_dedup.op10_substring_dedup,
