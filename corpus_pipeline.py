@@ -1,10 +1,72 @@
-"""The corpus pipeline: stages of training-data operators over documents."""
+"""The corpus pipeline: stages of training-data operators over documents, each reading the rows that the one before kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from spanloom.llm.common import new_path, prepare, table
+
+#: Language-model operators (classifiers, sketches, token packing) that SQL can't express.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    prepare(spark)
+    keyed = docs.select("*", _key(docs))
+    marks = toxicity.score(docs.select(_key(docs).alias("doc_id"), "text"), toxicity.learnt(spark, sf_dir))
+    bad = marks.filter("score >= 0.5").select("doc_id").distinct().withColumnRenamed("doc_id", "_bad")
+    return keyed.join(bad, keyed["_key"] == bad["_bad"], "left_anti").select(*docs.columns)
+
+
+def _key(docs: DataFrame):
+    """A number for a row's text: the score depends on nothing else."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64("text").alias("_key")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the first stays."""
+    prepare(spark)
+    return exact_dedup.dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the first stays."""
+    prepare(spark)
+    return near_dedup.first_of_groups(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate towards the target weights says."""
+    prepare(spark)
+    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written and read again."""
+    docs = table(spark, sf_dir.rstrip("/"), "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir.rstrip("/")).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
