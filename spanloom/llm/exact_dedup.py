@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import new_path, stored
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # else each of many small stores sets megabytes of disk aside
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: The byte check reads texts whose digest begins as a hit's does; beginnings of so many bits are broadcast, hence 2^20 rows at most.
+BEGIN_BITS = 20
 #: A group is hot above this share of all rows; hence at most 1 / share groups are hot, which bounds their broadcast.
 HOT_SHARE = 1e-4
 
@@ -49,8 +55,9 @@ def _first(group: str = "") -> Column:
 
 def stream_state(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
     """digest, first, n: the final state after every file under path has passed through the stream."""
-    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    held = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(spark.read.parquet(path).select("doc_id", "text").schema)
         if files_per_batch:
@@ -72,7 +79,8 @@ def stream_state(spark: SparkSession, path: str, digest=sha256, files_per_batch:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not seen:
         return spark.createDataFrame([], state.schema)
     last = spark.read.schema(state.schema).parquet(*dict.fromkeys(seen))
@@ -95,8 +103,9 @@ def dedup_files(spark: SparkSession, path: str, digest=sha256, files_per_batch:
     total = state.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = _rows(spark.read.schema(spark.read.parquet(path).select("doc_id", "text").schema).parquet(path), digest)
     groups = state.select("digest", "first", F.col("n").alias("group_size"))
-    hits = groups.filter("group_size > 1").select("digest", "group_size")
-    checked = _skew_join(rows.select("digest", "norm"), hits, "digest", "group_size", total)
+    begin = F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - BEGIN_BITS).alias("begin")
+    begins = groups.filter("group_size > 1").select(begin).distinct()
+    checked = rows.select("digest", "norm", begin).join(F.broadcast(begins), "begin", "left_semi")
     clash = stored(
         checked.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select("digest"),
         "dedup-clash",
