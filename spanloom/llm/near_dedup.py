@@ -4,11 +4,11 @@ Sketch: in each round every shingle is thrown by a fresh hash into one of SIZE b
 keeps the least. The first SIZE rounds place shingles at random, round SIZE + j puts all into bin j, so after 2 SIZE rounds at the latest every
 coordinate is filled; rounds end once all are. Each coordinate agrees between two sets with their similarity as its probability, and concentrates.
 
-Texts with equal words form a class, which one row stands for. Classes whose sketches agree in one of BANDS bands of SIZE / BANDS coordinates meet in a bucket.
+Texts with equal words form a class, which one row stands for. Classes whose sketches agree in one of BANDS bands of ROWS coordinates meet in a bucket.
 A bucket's pairs are never all made: each member is first held against the bucket's smallest id, by its full shingle set.
 Verified links give components. What is left are buckets with several components. There, members of different components whose sizes and sketches allow the threshold are
-held against each other, first the closest pair of two components only, then all that remain. So links within a component are never searched for, and
-all others that a band brings together are verified. A pair at similarity 0.75 shares no band with a probability of 5e-6.
+held against each other on their full sets, block by block, in the first band that they share. So links within a component are never searched for, pairs are never
+rows, and all others that a band brings together are verified. A pair at similarity 0.75 shares no band with a probability of 5e-6.
 
 Defined cases: a text that is null or has no words has no shingles and no links; a null id too takes no part in links and is its own component (null); rows with equal ids
 are one document, linked with each other; an empty table gives an empty result; other columns are ignored (group_rows) or carried (first_of_groups).
@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import remove, stored, table
+from spanloom.llm.common import UNIT_BYTES, remove, stored, table
 
-WORDS, SIZE, BANDS = 5, 128, 32
+WORDS, SIZE, BANDS, ROWS = 5, 512, 32, 4
 NUMERATOR, DENOMINATOR = 75, 100
-#: Least number of equal sketch bytes (of SIZE) to verify a pair of different components: 5 standard deviations below 0.75.
-LEAST_EQUAL = 70
+#: Least number of coordinates (of SIZE) whose last four bits agree, to verify a pair of different components. At a similarity of 0.75
+#: and with chance agreements 392 are expected; this is 5 standard deviations below.
+LEAST_EQUAL = 344
 #: Members of a bucket that one task compares at once.
 BLOCK = 2048
 #: Bytes of text whose words are hashed at once.
@@ -111,38 +112,52 @@ def sketch(items: np.ndarray, size: int = SIZE) -> np.ndarray:
 
 def band_keys(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
     key = np.arange(1, bands + 1, dtype=np.uint64) * _M2
-    for col in s.reshape(bands, -1).T:
+    for col in s[: bands * ROWS].reshape(bands, ROWS).T:
         key = _mix(key * _M1 + col)
     return key.view(np.int64)
 
 
+def last_bits(s: np.ndarray) -> bytes:
+    """The last four bits of each coordinate, two in a byte."""
+    x = (s & _U(15)).astype(np.uint8)
+    return (x[::2] | x[1::2] << 4).tobytes()
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many coordinates of each row of a agree with b in their last bits."""
+    x = a ^ b
+    return ((x & 15) == 0).sum(1) + (x < 16).sum(1)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both) and both > 0
 
 
-_SKETCHED = "doc_id long, n long, digest binary, bands array<long>, sig binary"
+_SKETCHED = "doc_id long, n long, digest binary, keys array<long>, bands binary, sig binary"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(s, 512) for s in range(0, batch.num_rows, 512)):
             texts = [normal(t) for t in part["text"].to_pylist()]
-            n, digest, bands, sigs = [], [], [], []
+            n, digest, keys, bands, sigs = [], [], [], [], []
             for text, items in zip(texts, shingles(texts), strict=True):
                 n.append(len(items))
                 if len(items):
                     s = sketch(items)
                     digest.append(hashlib.blake2b(text, digest_size=16).digest())
-                    bands.append(band_keys(s).tolist())
-                    sigs.append((s & _U(255)).astype(np.uint8).tobytes())
+                    keys.append(band_keys(s))
+                    bands.append(keys[-1].tobytes())
+                    sigs.append(last_bits(s))
                 else:
                     digest.append(None)
+                    keys.append(None)
                     bands.append(None)
                     sigs.append(None)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n", "digest", "bands", "sig"],
+                [part["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n", "digest", "keys", "bands", "sig"],
             )
 
 
@@ -191,57 +206,62 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-_MEMBER = "key long, doc_id long, comp long, n long, sig binary"
-
-
-def _close(best: bool):
-    """Members of a bucket's two blocks to pairs of different components that may be similar; with best, one pair for each two components."""
-
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
-        ids, comp, n, side = (t[c].to_numpy()[order] for c in ("doc_id", "comp", "n", "side"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)[order]
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: of both
-        a, b = [], []
-        eq = []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & (ids[right] != ids[i])]
-            if side[i] == 2:
-                js = js[(side[js] != 2) | (js > i)]
-            small, large = np.minimum(n[js], n[i]), np.maximum(n[js], n[i])
-            js = js[DENOMINATOR * small >= NUMERATOR * large]
-            same = (sig[js] == sig[i]).sum(1)
-            good = same >= LEAST_EQUAL
-            js, same = js[good], same[good]
-            a += [ids[i]] * len(js)
-            b += ids[js].tolist()
-            eq += list(zip(np.minimum(comp[js], comp[i]).tolist(), np.maximum(comp[js], comp[i]).tolist(), same.tolist(), strict=True))
-        if best and a:
-            top: dict[tuple[int, int], int] = {}
-            for x, (p, q, s) in enumerate(eq):
-                had = top.get((p, q))
-                if had is None or (s, -a[x], -b[x]) > (eq[had][2], -a[had], -b[had]):
-                    top[p, q] = x
-            a, b = [a[x] for x in top.values()], [b[x] for x in top.values()]
-        return pa.Table.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"]) if a else pa.Table.from_arrays(
-            [pa.array([], pa.int64())] * 2, names=["a", "b"]
-        )
-
-    return run
-
-
-def _candidates(members: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-    """Pairs of different components that share a bucket, size and sketch permitting. A large bucket is cut into blocks, and two blocks meet in a task."""
+
+
+def _close(t: pa.Table) -> pa.Table:
+    """Members of a bucket's two blocks to the links between different components, each verified on the full shingle sets.
+
+    A pair is looked at in the first band that it shares, and not at all once links found here connect it."""
+    t = t.sort_by([("doc_id", "ascending")])
+    key, ids, comp, n, side = (t[c].to_numpy() for c in ("key", "doc_id", "comp", "n", "side"))
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
+    bands = np.frombuffer(b"".join(t["bands"].to_pylist()), np.int64).reshape(len(t), -1)
+    here = int(np.flatnonzero(bands[0] == key[0])[0])
+    norms, sets = t["norm"], {}
+    root = {int(c): int(c) for c in np.unique(comp)}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles([norms[i].as_py()])[0]
+        return sets[i]
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: of both
+    links = []
+    for i in left:
+        js = right[(comp[right] != comp[i]) & (ids[right] != ids[i])]
+        if side[i] == 2:
+            js = js[(side[js] != 2) | (js > i)]
+        small, large = np.minimum(n[js], n[i]), np.maximum(n[js], n[i])
+        js = js[DENOMINATOR * small >= NUMERATOR * large]
+        same = agreeing(sig[js], sig[i])
+        good = (same >= LEAST_EQUAL) & ~(bands[js, :here] == bands[i, :here]).any(1)
+        for j in js[good][np.argsort(-same[good], kind="stable")].tolist():
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b and similar(of(int(i)), of(j)):
+                root[max(a, b)] = min(a, b)
+                links.append((int(ids[i]), int(ids[j])))
+    cols = list(zip(*links, strict=True)) or [(), ()]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+
+def _late_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between components that share a bucket. A large bucket is cut into blocks, and two blocks meet in a task."""
     now = members.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
-    held = now.join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    held = now.join(mixed, "key", "left_semi").join(sigs, "doc_id")
+    sizes = held.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / UNIT_BYTES)).cast("int").alias("blocks"))
+    held = held.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = held.withColumn("other", meets).select(
-        "key", "doc_id", "comp", "n", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    pairs = held.withColumn("other", meets).join(texts, "doc_id").select(
+        "key", "doc_id", "comp", "n", "sig", "bands", "norm", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    return pairs.groupBy("key", "i", "j").applyInArrow(_close(best), "a long, b long").distinct()
+    return pairs.groupBy("key", "i", "j").applyInArrow(_close, "a long, b long")
 
 
 def group_rows(docs: DataFrame) -> DataFrame:
@@ -249,31 +269,25 @@ def group_rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stored(rows.mapInArrow(_sketches, _SKETCHED), "near-sketches")
     usable = found.filter("doc_id IS NOT NULL AND n > 0")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig", "bands")).alias("r")).select("digest", "r.*")
-    keyed = classes.select("doc_id", "n", "sig", F.explode("bands").alias("key"))
+    classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
+    # only ids meet in buckets; sketches are joined to the few that have company
+    own = usable.select("doc_id", "digest", "keys").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
+    keyed = own.select("doc_id", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("hi")).filter("leader <> hi").select("key", "leader")
-    members = stored(keyed.join(several, "key"), "near-members")
+    members = stored(keyed.join(several, "key").distinct(), "near-members")
     active = members.select("doc_id").distinct()
     texts = rows.join(active, "doc_id", "left_semi").select("doc_id", "text")
     texts = stored(texts.mapInArrow(_normal_rows, "doc_id long, norm binary"), "near-texts")
     stars = members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     # a class's rows, and rows with equal ids, are linked as they are
-    alike = usable.join(classes.select("digest", F.col("doc_id").alias("rep")), "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links, tested = stored(verified(stars, texts), "near-links"), stored(stars, "near-tested")
+    alike = usable.select("digest", "doc_id").join(classes, "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = stored(verified(stars, texts), "near-links")
     comps = components(links)
-    held = members.select("key", "doc_id", "n", "sig")
-    for best in (True, True, False):
-        pairs = stored(_candidates(held, comps, best).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            if best:
-                continue
-            break
-        more = stored(verified(pairs, texts), "near-links")
-        tested = stored(tested.unionByName(pairs), "near-tested")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
-    whole = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(alike))
+    sigs = usable.select("doc_id", "n", "sig", "bands").join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sigs = sigs.join(texts.groupBy("doc_id").agg(F.max(F.octet_length("norm")).alias("size")), "doc_id")
+    late = stored(_late_links(members, stored(sigs, "near-sigs"), texts, comps), "near-links")
+    comps = comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(late)
+    whole = components(comps.unionByName(alike))
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(whole, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import stored, table, units_of
 
 LENGTH, K = 50, 16
-#: Bytes hashed at once, bytes of text between a task's flushes, and bytes of T sorted at once (an anchor's segments stay together).
-CHUNK, FLUSH, SORTED = 1 << 19, 16 << 20, 1 << 18
+#: Bytes hashed at once, of text between a task's flushes, of T sorted at once (an anchor's segments stay together), and of text in a bucket or shard.
+CHUNK, FLUSH, SORTED, UNIT = 1 << 19, 8 << 20, 1 << 18, 4 << 20
 MOST_BUCKETS = 1 << 16
 _LAST = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -190,8 +190,9 @@ def _scan(buckets: int, shards: int, length: int, k: int):
         return _blobs(names, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # which returns what is freed
         ids, texts, held = [], [], 0
-        for batch in batches:
+        for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
             for i, row, t in zip(batch["id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if len(t) < length:
                     continue
@@ -368,7 +369,7 @@ def spans_of(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, the text as bytes and spans, the runs [start, end) of its bytes that go."""
-    shards = units_of(docs)
+    shards = units_of(docs, unit_bytes=UNIT)
     buckets = min(MOST_BUCKETS, shards)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
