@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one unit of parallel work should hold.
 UNIT_BYTES = 8 << 20
-#: Rows that pass to a Python worker at once.
-BATCH_ROWS = 1024
+#: Bytes of rows that pass to a Python worker at once.
+BATCH_BYTES = "4m"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started; and bound what passes to them at once, as texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _ROOT not in paths:

@@ -1,6 +1,6 @@
 """Packing of documents into sequences: first-fit decreasing on a tournament tree, in randomised groups.
 
-A hash of id and text deals the documents to groups of about one unit of text (8 MB), so that every group
+A hash of id and text deals the documents to groups of about 4 MB of text, so that every group
 is packed alone, in one task and bounded memory, and the number of groups grows with the input. A document's
 tokens fill whole sequences first. The remainders, longest first, go each to the first bin with room, which
 a tournament tree of bin capacities finds in logarithmic time. What room is left is then filled by cutting the
@@ -26,8 +26,8 @@ from spanloom.llm.common import UNIT_BYTES, table, units_of
 
 END_ID = 2
 SEQUENCE = 4096
-#: Entries that a worker's store of encoded words may hold before it starts anew.
-STORE = 200_000
+#: Entries that a worker's stores of encoded words, as written and as encoded, may hold before they start anew.
+STORE, CORES = 400_000, 700_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,17 +37,60 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+
+
 def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Text to its ids as little-endian 32-bit numbers."""
+    """Text to its ids as little-endian 32-bit numbers. A worker process keeps one encoder for a path."""
+    if path in _ENCODERS:
+        return _ENCODERS[path]
+    import os
+
     import numpy as np
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    tok, store = Tokenizer.from_file(path), {}
-    specials = tuple(tok.get_added_tokens_decoder()[i].content for i in tok.get_added_tokens_decoder())
+    tok, store, cores = Tokenizer.from_file(path), {}, {}
+    specials = tuple(t.content for t in tok.get_added_tokens_decoder().values())
 
     def ids(words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
+    marks = dict(zip(".,", ids([".", ","]), strict=True))
+
+    def core(word: str) -> tuple[str, bytes]:
+        """A word without its last mark, which is a token of its own after a letter; ASCII in lower case, as the normaliser has it."""
+        end = b""
+        if len(word) > 1 and word[-1] in marks and word[-2].isalpha():
+            word, end = word[:-1], marks[word[-1]]
+        return (word.lower() if word.isascii() else word), end
+
+    letters = np.zeros(tok.get_vocab_size(), bool)  # ids that end a word
+    for piece, i in tok.get_vocab().items():
+        letters[i] = piece.endswith("</w>")
+
+    def several(words: list[str]) -> list[bytes]:
+        """Words of letters alone in one go; each ends with the first id that ends a word."""
+        got = np.asarray(tok.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(letters[got]) + 1
+        if len(ends) != len(words):  # a letter that the normaliser takes apart
+            return ids(words)
+        data, at = got.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def learn(new: list[str]) -> None:
+        made = {w: core(w) for w in new}
+        missing = {c for c, _ in made.values() if c not in cores}
+        if len(cores) + len(missing) > CORES:
+            cores.clear()
+            missing = {c for c, _ in made.values()}
+        for kind, how in ((True, several), (False, ids)):
+            part = [c for c in missing if c.isalpha() is kind]
+            for s in range(0, len(part), 4096):
+                cores.update(zip(part[s : s + 4096], how(part[s : s + 4096]), strict=True))
+        store.update({w: cores[c] + end if end else cores[c] for w, (c, end) in made.items()})
+
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):  # they may stand inside or across words
             return ids([text])[0]
@@ -57,10 +100,10 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
             if len(store) + len(new) > STORE:
                 store.clear()
                 new = list(set(words))
-            store.update(zip(new, ids(new), strict=True))
+            learn(new)
         return b"".join(map(store.__getitem__, words))
 
-    return encode
+    return _ENCODERS.setdefault(path, encode)
 
 
 class FirstFit:
@@ -134,7 +177,7 @@ def plan(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int, int,
     return done
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, unit_bytes: int = UNIT_BYTES, seed: int = 7) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, unit_bytes: int = UNIT_BYTES // 2, seed: int = 7) -> DataFrame:
     """doc_id and text to one row per piece; see SCHEMA."""
     path, groups = path or tokenizer_path(), units_of(docs, unit_bytes=unit_bytes)
 

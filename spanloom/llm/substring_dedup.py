@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from spanloom.llm.common import stored, table, units_of
 
 LENGTH, K = 50, 16
 #: Bytes hashed at once, of text between a task's flushes, of T sorted at once (an anchor's segments stay together), and of text in a bucket or shard.
-CHUNK, FLUSH, SORTED, UNIT = 1 << 19, 8 << 20, 1 << 18, 4 << 20
+CHUNK, FLUSH, SORTED, UNIT = 1 << 17, 6 << 20, 1 << 17, 4 << 20
 MOST_BUCKETS = 1 << 16
 _LAST = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -207,6 +208,23 @@ def _scan(buckets: int, shards: int, length: int, k: int):
     return run
 
 
+def _by_bucket(run):
+    """Apply run to the rows of each bucket of a task; a bucket's rows are all in one task, in any order. Spares the JVM a sort of long rows."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            # copies, since a slice would hold its whole batch
+            for b in set(batch["bucket"].to_pylist()):
+                held.setdefault(b, []).append(batch.filter(pa.compute.equal(batch["bucket"], b)))
+            del batch
+        for b in sorted(held):
+            yield from run(pa.Table.from_batches(held.pop(b))).to_batches()
+
+    return over
+
+
 def _settle(shards: int):
     """A bucket's records to settled windows, and to segments that are wanted as bytes, by shard."""
 
@@ -377,10 +395,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     ).withColumn("shard", F.pmod("row", F.lit(shards)))
     texts = rows.groupBy("shard")
     scanned = rows.select("id", "row", "text").mapInArrow(_scan(buckets, shards, length, k), "bucket long, docs binary, seen binary, gone binary")
-    settled = stored(scanned.groupBy("bucket").applyInArrow(_settle(shards), _OUT), "substring-settled")
+    settled = stored(scanned.repartition(buckets, "bucket").mapInArrow(_by_bucket(_settle(shards)), _OUT), "substring-settled")
     wanted = settled.filter(F.length("open") > 0).groupBy("shard")
     fetched = texts.cogroup(wanted).applyInArrow(_fetch(length), "bucket long, held binary, data binary")
-    found = fetched.groupBy("bucket").applyInArrow(_expand(shards, length), _OUT)
+    found = fetched.repartition(buckets, "bucket").mapInArrow(_by_bucket(_expand(shards, length)), _OUT)
     gone = settled.filter(F.length("gone") > 0).unionByName(found).groupBy("shard")
 
     def cover(texts: pa.Table, gone: pa.Table) -> pa.Table:
