@@ -27,7 +27,7 @@ from spanloom.llm.common import UNIT_BYTES, table, units_of
 END_ID = 2
 SEQUENCE = 4096
 #: Entries that a worker's stores of encoded words, as written and as encoded, may hold before they start anew.
-STORE, CORES = 400_000, 700_000
+STORE, CORES = 800_000, 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -36,11 +36,16 @@ PRIOR = 0.5
 
 
 def terms_of(text: str | None) -> Counter:
-    """Words and, as "letters*", the starts of longer words, each with its number of times."""
+    """Words and, as "letters*", the starts of longer words, each with its number of times; a start met twice or more is a term of its own too, as "letters*2"."""
     counts = Counter(WORD.findall((text or "").lower()))
-    for word, n in list(counts.items()):
+    starts: Counter = Counter()
+    for word, n in counts.items():
         if len(word) > PREFIX:
-            counts[f"{word[:PREFIX]}*"] += n
+            starts[f"{word[:PREFIX]}*"] += n
+    for start, n in starts.items():
+        counts[start] = n
+        if n > 1:
+            counts[f"{start}2"] = n
     return counts
 
 
