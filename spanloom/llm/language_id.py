@@ -31,6 +31,8 @@ WORD = re.compile(r"[^\W\d_]+")
 WORDS, GRAMS, LANGUAGES, LONGEST = 100_000, 100_000, 256, 5
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 300_000
+#: Unseen words whose rows a task keeps before it starts anew.
+STORE = 100_000
 CERTAIN = 40.0
 UNKNOWN = "und"
 
@@ -91,55 +93,71 @@ class Model:
 
     def __init__(self, langs: list[str], words: list, grams: list) -> None:
         self.langs, at = langs, {lang: i for i, lang in enumerate(langs)}
-        self.words, self.grams = self._rows(words, at), {}
+        self.words = {item: i for i, (item, _) in enumerate(words)}
+        self.rows, self.grams = self._rows(words, at), {}
         for size in range(1, LONGEST + 1):
             own = [r for r in grams if len(r[0]) == size]
-            self.grams |= self._rows(own, at)
+            self.grams |= zip((item for item, _ in own), self._rows(own, at), strict=True)
 
     @staticmethod
-    def _rows(items: list, at: dict[str, int]) -> dict[str, np.ndarray]:
-        total = np.ones(len(at))
-        for _, counts in items:
-            for lang, n in counts:
-                total[at[lang]] += n
-        rows = {}
-        for item, counts in items:
-            row = np.full(len(at), 0.5)
+    def _rows(items: list, at: dict[str, int]) -> np.ndarray:
+        total, rows = np.ones(len(at)), np.full((len(items), len(at)), 0.5)
+        for row, (_, counts) in zip(rows, items, strict=True):
             for lang, n in counts:
                 row[at[lang]] += n
-            rows[item] = np.log(row / total)
-        return rows
+                total[at[lang]] += n
+        return np.log(rows / total)
 
     def word(self, word: str) -> np.ndarray:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.rows[found]
         for size in range(LONGEST, 0, -1):
             known = [g for g in map(self.grams.get, grams_of(word, size)) if g is not None]
             if known:
                 return np.mean(known, axis=0)
         return np.zeros(len(self.langs))
 
-    def predict(self, text: str | None, store: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, text: str | None, store: Store) -> tuple[str, float]:
         words = Counter(words_of(text or ""))
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in words.items():
-            row = store.get(word)
-            if row is None:
-                row = self.word(word)
-                if len(word) <= 64:
-                    if len(store) > 100_000:
-                        store.clear()
-                    store[word] = row
-            total += n * row
+        times = np.fromiter(words.values(), float, len(words))
+        total = (store.of(list(words)) * times[:, None]).sum(axis=0)  # each language's sum in the same order
         number = words.total()
         x = total / number * min(number, CERTAIN)
         p = np.exp(x - x.max())
         return self.langs[int(p.argmax())], float(p.max() / p.sum())
 
 
+class Store:
+    """The rows of the known words, and behind them those of the unseen words that a task met, STORE at most between two texts."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.at, self.rows = dict(self.model.words), self.model.rows
+
+    def of(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.at.get, words))
+        if None in found:
+            new = [w for w, i in zip(words, found, strict=True) if i is None]
+            if len(self.at) - len(self.model.words) + len(new) > STORE:
+                self.clear()
+                new = [w for w in words if w not in self.at]
+            used = len(self.at)
+            if used + len(new) > len(self.rows):
+                grown = np.empty((max(used + len(new), used + STORE // 8), len(self.model.langs)))
+                grown[:used] = self.rows[:used]
+                self.rows = grown
+            for i, word in enumerate(new, used):
+                self.rows[i], self.at[word] = self.model.word(word), i
+            found = list(map(self.at.get, words))
+        return self.rows[found]
+
+
 def fit(train: DataFrame) -> Model:
     """Learn from lang and text of all rows of train."""
     known = train.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
@@ -166,7 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store: dict[str, np.ndarray] = {}
+        store = Store(held.value)
         for batch in batches:
             found = [held.value.predict(t, store) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
