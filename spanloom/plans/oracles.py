@@ -113,4 +113,14 @@ ORACLES = {
         FROM f JOIN o ON o.video_id = f.video_id AND o.rn = f.rn + 1,
         LATERAL (SELECT len(chosen) < 6 AND len(list_filter(chosen, lambda x: o.start < x.e AND o."end" > x.s)) = 0 AS ok))
       SELECT o.video_id, o.seq, o.start, o."end", o.score FROM f JOIN o USING (video_id, rn) WHERE hit""",
+    "video_span": f'WITH {_ASR} SELECT video_id, coalesce(max("end"), 0) AS total, count(*) AS segments FROM asr GROUP BY 1',
+    "fmt_mmss": f"""WITH {_CAND}, m AS (SELECT seq, CAST(round_even(score * 60.0::DOUBLE, 0) AS BIGINT) AS s FROM cand)
+      SELECT seq, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS stamp FROM m""",
+    "transcript_lines": f"""WITH {_ASR} SELECT video_id, seq, printf('[%.1fs - %.1fs] %s', start, "end", text) AS line FROM asr""",
+    "sentence_breaks": f"""WITH {_ASR} SELECT video_id, seq, replace(replace(replace(text, '. ', '.' || chr(10)), '? ', '?' || chr(10)), '! ', '!' || chr(10)) AS lines FROM asr""",
+    "join_cleanup": f"""WITH {_ASR} SELECT video_id, seq, regexp_replace(regexp_replace(text, '([,.!?])', ' \\1', 'g'), '\\s+([,.!?])', '\\1', 'g') AS text FROM asr""",
+    "english_sample": f"""WITH {_ASR}, n AS (SELECT video_id, text, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n FROM asr),
+      v AS (SELECT video_id, NOT regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') AND len(regexp_extract_all(text, '[A-Za-z]')) >= 4 AND NOT regexp_matches(trim(text), '^[A-Z]{{1,8}}$') AS en
+        FROM n WHERE n <= 5 AND trim(text) <> '')
+      SELECT video_id, count(*) FILTER (WHERE en) >= least(count(*), 4) AS english FROM v GROUP BY 1""",
 }

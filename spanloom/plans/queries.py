@@ -72,10 +72,12 @@ def window_transcript(spark, sf_dir):
 
 @query
 def word_alignment(spark, sf_dir):
-    """JN03: words by their midpoint in half-open windows."""
+    """JN03: words by their midpoint in half-open windows; cells as long as a window make it an equi-join."""
     words = _segments(spark, sf_dir).select("video_id", "seq", "start", "end", F.posexplode(F.split("text", " ")).alias("pos", "word"), F.size(F.split("text", " ")).alias("n"))
     mid = F.col("start") + (F.col("end") - F.col("start")) * (F.col("pos") + 0.5) / F.col("n")
-    w = words.withColumn("mid", mid).join(_clips(spark, sf_dir), "video_id").filter("mid >= clip_start AND mid < clip_end")
+    cell = lambda t: F.floor(t / DURATION)
+    clips = _clips(spark, sf_dir).withColumn("cell", F.explode(F.sequence(cell(F.col("clip_start")), cell(F.col("clip_end")))))
+    w = words.withColumn("mid", mid).withColumn("cell", cell(F.col("mid"))).join(clips, ["video_id", "cell"]).filter("mid >= clip_start AND mid < clip_end")
     return w.groupBy("video_id", "clip").agg(F.count("*").alias("words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
 
 
@@ -367,3 +369,43 @@ def find_peaks(spark, sf_dir):
     """FLD12, TOP01; unit-tested."""
     c = candidates(spark, sf_dir).select("video_id", F.col("start").alias("time"), F.col("score").alias("value"))
     return folds.fold(c, lambda rows: folds.find_peaks(rows, 1.0, 86400.0, 5), "video_id long, time double, value double")
+
+
+@query
+def video_span(spark, sf_dir):
+    """AGG05, AGG06."""
+    return asr_segments(spark, sf_dir).groupBy("video_id").agg(F.coalesce(F.max("end"), F.lit(0.0)).alias("total"), F.count("*").alias("segments"))
+
+
+@query
+def fmt_mmss(spark, sf_dir):
+    """PRJ04."""
+    return candidates(spark, sf_dir).select("seq", text.fmt_mmss(F.col("score") * 60.0).alias("stamp"))
+
+
+@query
+def transcript_lines(spark, sf_dir):
+    """PRJ51."""
+    return _segments(spark, sf_dir).select("video_id", "seq", text.transcript_line(F.col("start"), F.col("end"), F.col("text")).alias("line"))
+
+
+@query
+def sentence_breaks(spark, sf_dir):
+    """PRJ52: a line for each sentence."""
+    return _segments(spark, sf_dir).select("video_id", "seq", F.regexp_replace("text", "([.?!]) ", "$1\n").alias("lines"))
+
+
+@query
+def join_cleanup(spark, sf_dir):
+    """PRJ50: words and marks joined by spaces, then without space before marks."""
+    spaced = F.regexp_replace("text", "([,.!?])", " $1")
+    return _segments(spark, sf_dir).select("video_id", "seq", text.join_cleanup(spaced).alias("text"))
+
+
+@query
+def english_sample(spark, sf_dir):
+    """AGG15: of the first five rows, those that aren't blank must be English: all if fewer than four, else four."""
+    w = Window.partitionBy("video_id").orderBy("seq")
+    first = _segments(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n <= 5").filter(text.stripped(F.col("text")) != "")
+    votes = first.groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(text.looks_english(F.col("text"))).alias("en"))
+    return votes.select("video_id", (F.col("en") >= F.least("n", F.lit(4))).alias("english"))
