@@ -73,7 +73,8 @@ def window_transcript(spark, sf_dir):
 @query
 def word_alignment(spark, sf_dir):
     """JN03: words by their midpoint in half-open windows; cells as long as a window make it an equi-join."""
-    words = _segments(spark, sf_dir).select("video_id", "seq", "start", "end", F.posexplode(F.split("text", " ")).alias("pos", "word"), F.size(F.split("text", " ")).alias("n"))
+    split = _segments(spark, sf_dir).select("video_id", "start", "end", F.split("text", " ").alias("ws"), F.size(F.split("text", " ")).alias("n"))
+    words = split.select("video_id", "start", "end", "n", F.posexplode("ws").alias("pos", "word"))  # counted before: not again for each word
     mid = F.col("start") + (F.col("end") - F.col("start")) * (F.col("pos") + 0.5) / F.col("n")
     cell = lambda t: F.floor(t / DURATION)
     clips = _clips(spark, sf_dir).withColumn("cell", F.explode(F.sequence(cell(F.col("clip_start")), cell(F.col("clip_end")))))
