@@ -28,6 +28,8 @@ from spanloom.llm.common import UNIT_BYTES, remove, stored, table
 
 WORDS, SIZE, BANDS, ROWS = 5, 512, 32, 4
 NUMERATOR, DENOMINATOR = 75, 100
+#: Bits of a coordinate that hold its round: 2 SIZE rounds and, above them all, an empty bin.
+ROUND_BITS = (2 * SIZE).bit_length()
 #: Least number of coordinates (of SIZE) whose last four bits agree, to verify a pair of different components. At a similarity of 0.75
 #: and with chance agreements 392 are expected; this is 5 standard deviations below.
 LEAST_EQUAL = 344
@@ -97,15 +99,16 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 
 def sketch(items: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Fast similarity sketch of a set of hashes that isn't empty; size is a power of two."""
-    out = np.full(size, _U((1 << 64) - 1))
-    low, width, first = _U(size - 1), _U(8), 0
+    empty = _U((1 << 64) - 1)
+    out = np.full(size, empty)
+    low, first = _U(size - 1), 0
     while first < 2 * size:
         rounds = np.arange(first, min(2 * size, first + max(1, 4096 // len(items))), dtype=np.uint64)
         x = _mix(items[None, :] ^ _mix(rounds * _M1 + _U(1))[:, None])
         bins = np.where((rounds < size)[:, None], x & low, (rounds - np.minimum(rounds, _U(size)))[:, None])
-        np.minimum.at(out, bins.ravel().astype(np.int64), ((rounds << _U(56))[:, None] | (x >> width)).ravel())
+        np.minimum.at(out, bins.ravel().astype(np.int64), ((rounds << _U(64 - ROUND_BITS))[:, None] | (x >> _U(ROUND_BITS))).ravel())
         first += len(rounds)
-        if int(out.max() >> _U(56)) < first and out.max() != _U((1 << 64) - 1):
+        if out.max() != empty:  # later rounds are greater and change nothing
             break
     return out
 
