@@ -15,6 +15,7 @@ as documents of their own; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,9 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What the tokenizer takes for white space, and the characters that only str.split() takes for it.
+SPACE, APART = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), "\x1c\x1d\x1e\x1f"
+
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -94,7 +98,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):  # they may stand inside or across words
             return ids([text])[0]
-        words = text.split()
+        words = SPACE.split(text) if any(c in text for c in APART) else text.split()
         new = [w for w in set(words) if w not in store]
         if new:
             if len(store) + len(new) > STORE:
