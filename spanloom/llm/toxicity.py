@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows (EXAMPLES, the first by a hash of the id). Terms are words and the first letters of longer
-words. The vectors range over the terms that tell the labels apart in the sample (a likelihood ratio that no term would be likely to
-reach by chance, given how many were tried), at most TERMS. The vectors stand in an inverted index cut into
+words. The vectors range over all terms of the sample. Terms that tell the labels apart in the sample (a likelihood ratio that no term would be likely to
+reach by chance, given how many were tried), at most TERMS, weigh TELLING times as much. The vectors stand in an inverted index cut into
 blocks of BLOCK examples, with the greatest weight of each term in each block. For a text, the blocks' bounds are summed from its terms and the blocks are
 scored in order of their bounds, exactly, until no bound can beat the k-th best. The neighbours vote with their similarity; PRIOR votes of the sample's share
 of toxic rows keep the score calibrated where few or no neighbours are near. The neighbours are the evidence.
@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import fold_of, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of what is learnt and broadcast: examples, terms, and terms of one example.
+#: Bounds of what is learnt: examples, whose terms are all broadcast, and terms that weigh more.
 EXAMPLES, TERMS = 8192, 20_000
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks that are scored before the k-th best rules others out.
+FIRST_BLOCKS = 8
 #: A term that tells labels apart has LEAST rows and SHARE of the rarer label's rows at least, and a likelihood ratio of 2 ln(terms tried) at least.
-LEAST, SHARE = 3, 0.02
+LEAST, SHARE, TELLING = 3, 0.02, 8.0
 PREFIX = 5
 PRIOR = 0.5
 
@@ -49,46 +52,69 @@ def terms_of(text: str | None) -> Counter:
     return counts
 
 
+def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges from starts to stops, one after the other, and the ranges' lengths."""
+    lengths = stops - starts
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths), lengths
+
+
 class Index:
     """Examples as TF-IDF vectors of unit length, in blocks."""
 
     def __init__(self, examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], share: float, k: int = NEIGHBOURS, block: int = BLOCK) -> None:
         self.idf, self.share, self.k, self.block = idf, share, k, block
-        vectors = [(i, y, v) for i, y, c in examples if (v := self.vector(c))]
+        self.terms = {t: j for j, t in enumerate(sorted(idf))}
+        vectors = []
+        for i, y, c in examples:
+            if v := self.vector(c):
+                at = np.fromiter(map(self.terms.get, v), np.int32, len(v))
+                vectors.append((max(sorted(v), key=v.get), i, y, at, np.fromiter(v.values(), float, len(v))))
         # alike examples side by side make tight bounds
-        vectors.sort(key=lambda x: (max(sorted(x[2]), key=x[2].get), x[0]))
-        self.ids, self.labels = [v[0] for v in vectors], [v[1] for v in vectors]
-        posts: dict[str, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for at, (_, _, v) in enumerate(vectors):
-            for t, w in v.items():
-                posts[t][at // block].append((at, w))
-        self.posts = {t: {b: (np.array([p[0] for p in ps]), np.array([p[1] for p in ps])) for b, ps in by.items()} for t, by in posts.items()}
-        self.most = {t: (np.array(list(by)), np.array([by[b][1].max() for b in by])) for t, by in self.posts.items()}
+        vectors.sort(key=lambda x: x[:2])
+        self.ids, self.labels = [v[1] for v in vectors], [v[2] for v in vectors]
         self.blocks = -(-len(vectors) // block)
+        term = np.concatenate([np.empty(0, np.int32), *(v[3] for v in vectors)])
+        weight = np.concatenate([np.empty(0), *(v[4] for v in vectors)])
+        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[3]) for v in vectors])
+        order = np.lexsort((at, term))
+        term, self.at, self.weight = term[order], at[order].astype(np.intp), weight[order]
+        # an entry is a term in a block: its block, its greatest weight, and its postings; terms have entries from first[term] on
+        key = term.astype(np.int64) * max(1, self.blocks) + self.at // block
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.block_of, self.start = self.at[start] // block, np.r_[start, len(key)]
+        self.first = np.searchsorted(term[start], np.arange(len(idf) + 1))
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
+        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
         norm = sum(w * w for w in v.values()) ** 0.5
         return {t: w / norm for t, w in v.items()}
 
     def nearest(self, counts: dict[str, int]) -> list[tuple[float, int]]:
         """The k most similar examples with positive similarity, as (similarity, place)."""
-        query = {t: w for t, w in sorted(self.vector(counts).items()) if t in self.posts}
-        bound = np.zeros(self.blocks)
-        for t, w in query.items():
-            blocks, most = self.most[t]
-            bound[blocks] += w * most
+        query = sorted(self.vector(counts).items())
+        terms = np.fromiter((self.terms[t] for t, _ in query), np.int64, len(query))
+        entries, lengths = _spans(self.first[terms], self.first[terms + 1])
+        weights = np.repeat(np.fromiter((w for _, w in query), float, len(query)), lengths)
+        blocks = self.block_of[entries]
+        bound = np.bincount(blocks, weights * self.most[entries], self.blocks)
+        order, done, take = np.argsort(-bound, kind="stable"), 0, FIRST_BLOCKS
         best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] + 1e-9 < -best[-1][0]:
+        while done < len(order):
+            some = order[done : done + take]
+            some = some[(bound[some] > 0) & (len(best) < self.k or bound[some] + 1e-9 >= -best[-1][0])]
+            if not len(some):
                 break
-            own = np.zeros(self.block)
-            for t, w in query.items():
-                if b in self.posts[t]:
-                    at, weight = self.posts[t][b]
-                    own[at - b * self.block] += w * weight
-            best += [(-own[j], self.ids[b * self.block + j], int(b * self.block + j)) for j in np.flatnonzero(own)]
-            best = sorted(best)[: self.k]
+            now = np.zeros(self.blocks, bool)
+            now[some] = True
+            here = now[blocks]
+            posts, lengths = _spans(self.start[entries[here]], self.start[entries[here] + 1])
+            own = np.bincount(self.at[posts], np.repeat(weights[here], lengths) * self.weight[posts], len(self.ids))
+            hits = np.flatnonzero(own)
+            if len(hits) > self.k:
+                hits = hits[own[hits] >= np.partition(own[hits], -self.k)[-self.k]]
+            best = sorted([*best, *((-float(own[j]), self.ids[j], int(j)) for j in hits)])[: self.k]
+            done, take = done + take, len(order)
         return [(-s, at) for s, _, at in best]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
@@ -112,14 +138,21 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "label", "term", "n"])
 
 
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [terms_of(t) for t in batch["text"].to_pylist()]
+        terms, ns = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], terms, ns], names=["doc_id", "label", "terms", "n"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Index:
     """Learn from the first rows of labels, by a hash of the id, whose texts are in docs."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     sample = stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples), "toxic-sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    # copies of one text are no independent evidence: rows that begin or end with the same words count once
+    every = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), "toxic-examples")
+    # copies of one text are no independent evidence of which terms tell: rows that begin or end with the same words count once there
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+")
-    texts = texts.withColumn("head", F.xxhash64(F.slice(words, 1, 8))).withColumn("tail", F.xxhash64(F.slice(F.reverse(words), 1, 8)))
+    texts = every.withColumn("head", F.xxhash64(F.slice(words, 1, 8))).withColumn("tail", F.xxhash64(F.slice(F.reverse(words), 1, 8)))
     alone = stored(texts.groupBy("head", "label").agg(F.min_by(F.struct("doc_id", "text", "tail"), "doc_id").alias("r")).select("label", "r.*"), "toxic-alone")
     texts = alone.groupBy("tail", "label").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r")).select("label", "r.*")
     own = stored(texts.mapInArrow(_terms, "doc_id long, label int, term string, n long"), "toxic-terms")
@@ -136,12 +169,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
         + part(pos - a, (n - df) * share) + part(neg - df + a, (n - df) * (1 - share))
     )
     kept = by.withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    vocabulary = kept.orderBy(F.desc("ratio"), "term").limit(terms).select("term", "df")
-    idf = {r["term"]: float(np.log((1 + n) / (1 + r["df"])) + 1) for r in vocabulary.collect()}
-    found: dict[tuple[int, int], dict[str, int]] = defaultdict(dict)
-    for r in own.join(F.broadcast(vocabulary), "term").collect():  # at most EXAMPLES short rows of known terms
-        found[r["doc_id"], r["label"]][r["term"]] = r["n"]
-    return Index([(i, y, c) for (i, y), c in sorted(found.items())], idf, share)
+    telling = {r["term"] for r in kept.orderBy(F.desc("ratio"), "term").limit(terms).select("term").collect()}
+    found = every.mapInArrow(_examples, "doc_id long, label int, terms array<string>, n array<long>").toArrow()  # at most EXAMPLES rows, and those with their ids
+    all_of = [(i, y, dict(zip(map(sys.intern, ts), ns, strict=True))) for b in found.to_batches(256) for i, y, ts, ns in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    all_of.sort(key=lambda x: (x[0], x[1], sorted(x[2].items())))
+    rows = Counter(t for _, _, c in all_of for t in c)
+    idf = {t: (math.log((1 + len(all_of)) / (1 + df)) + 1) * (TELLING if t in telling else 1.0) for t, df in rows.items()}
+    return Index(all_of, idf, sum(y for _, y, _ in all_of) / len(all_of) if all_of else 0.0)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
