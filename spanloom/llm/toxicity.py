@@ -14,8 +14,10 @@ labels are ignored; without any labelled row every score is 0; ties in similarit
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -63,27 +65,44 @@ class Index:
 
     def __init__(self, examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], share: float, k: int = NEIGHBOURS, block: int = BLOCK) -> None:
         self.idf, self.share, self.k, self.block = idf, share, k, block
-        self.terms = {t: j for j, t in enumerate(sorted(idf))}
-        vectors = []
+        terms, vectors = {t: j for j, t in enumerate(sorted(idf))}, []
         for i, y, c in examples:
             if v := self.vector(c):
-                at = np.fromiter(map(self.terms.get, v), np.int32, len(v))
-                vectors.append((max(sorted(v), key=v.get), i, y, at, np.fromiter(v.values(), float, len(v))))
+                at = np.fromiter(map(terms.get, v), np.int32, len(v))
+                norm = sum(((1 + math.log(c[t])) * idf[t]) ** 2 for t in v) ** 0.5
+                vectors.append((max(sorted(v), key=v.get), i, y, at, np.fromiter((c[t] for t in v), np.uint32, len(v)), norm))
         # alike examples side by side make tight bounds
         vectors.sort(key=lambda x: x[:2])
         self.ids, self.labels = [v[1] for v in vectors], [v[2] for v in vectors]
-        self.blocks = -(-len(vectors) // block)
+        self.norms = np.array([v[5] for v in vectors])
         term = np.concatenate([np.empty(0, np.int32), *(v[3] for v in vectors)])
-        weight = np.concatenate([np.empty(0), *(v[4] for v in vectors)])
-        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[3]) for v in vectors])
+        times = np.concatenate([np.empty(0, np.uint32), *(v[4] for v in vectors)])
+        at = np.repeat(np.arange(len(vectors), dtype=np.uint32), [len(v[3]) for v in vectors])
         order = np.lexsort((at, term))
-        term, self.at, self.weight = term[order], at[order].astype(np.intp), weight[order]
+        self._enter(np.bincount(term, minlength=len(idf)).astype(np.uint32), at[order], times[order])
+
+    def _enter(self, counts: np.ndarray, at: np.ndarray, times: np.ndarray) -> None:
+        """Make the index from the number of postings of each term, and their examples and numbers of times."""
+        self.held = (counts, at, times)
+        names = sorted(self.idf)
+        self.terms = {t: j for j, t in enumerate(names)}
+        term = np.repeat(np.arange(len(names)), counts)
+        self.at, self.blocks = at.astype(np.intp), -(-len(self.ids) // self.block)
+        self.weight = (1 + np.log(times)) * np.array([self.idf[t] for t in names])[term] / self.norms[self.at]
         # an entry is a term in a block: its block, its greatest weight, and its postings; terms have entries from first[term] on
-        key = term.astype(np.int64) * max(1, self.blocks) + self.at // block
+        key = term * max(1, self.blocks) + self.at // self.block
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.block_of, self.start = self.at[start] // block, np.r_[start, len(key)]
-        self.first = np.searchsorted(term[start], np.arange(len(idf) + 1))
+        self.block_of, self.start = self.at[start] // self.block, np.r_[start, len(key)]
+        self.first = np.searchsorted(term[start], np.arange(len(names) + 1))
+
+    def __getstate__(self) -> bytes:
+        """What is broadcast: the postings alone, as each executor writes it to disk."""
+        return zlib.compress(pickle.dumps((self.idf, self.share, self.k, self.block, self.ids, self.labels, self.norms, self.held)), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.idf, self.share, self.k, self.block, self.ids, self.labels, self.norms, held = pickle.loads(zlib.decompress(state))  # noqa: S301
+        self._enter(*held)
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
