@@ -6,7 +6,7 @@ turns are context: they are rendered as such and take no perspective.
 
 A conversation is cut into chunks of CHUNK turns. Ranks come from a range partitioning of the turns: a turn's rank is its place within its
 partition and conversation plus the number of the conversation's turns in earlier partitions. So a conversation of any length is neither
-sorted nor gathered in one task; only a chunk is.
+sorted nor gathered in one task; only a chunk is. The partitioned turns are written once, and all that follows reads them: computed twice, their bounds could differ.
 
 Defined cases: turns with equal numbers are ordered by role and text; repeated rows are all rendered; a null role is
 the speaker "unknown"; a null text is empty; null conversation ids form one conversation, null turns come first; the marks' opening "<|" is broken up
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import stored, table
 
 CHUNK = 64
 SYSTEM = "system"
@@ -26,7 +26,7 @@ SYSTEM = "system"
 
 def _ranked(turns: DataFrame) -> DataFrame:
     key = ["conv_id", "turn", "role", "text"]
-    dealt = turns.repartitionByRange(*key).withColumn("part", F.spark_partition_id())
+    dealt = stored(turns.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "chat-turns")
     local = Window.partitionBy("part", "conv_id").orderBy("turn", "role", "text")
     sizes = dealt.groupBy("part", "conv_id").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.session import ship
+
 #: Bytes of text that one unit of parallel work should hold.
 UNIT_BYTES = 8 << 20
 #: Bytes of rows that pass to a Python worker at once.
 BATCH_BYTES = "4m"
-_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started; and bound what passes to them at once, as texts can be long."""
+    """Send this package to the Python workers; and bound what passes to them at once, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own on local masters, and an error on others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
         found = tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

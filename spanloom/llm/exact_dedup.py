@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import new_path, stored
+from spanloom.session import unused
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -53,6 +54,13 @@ def _first(group: str = "") -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "pos")).alias("first")
 
 
+def _pattern(path: str) -> str:
+    """A pattern that matches a path alone: its own pattern marks are escaped, and its last plain character stands in brackets."""
+    marks = "\\*?[]{},"
+    at = max(i for i, c in enumerate(path) if c not in marks + "/^-")
+    return "".join(f"[{c}]" if i == at else f"\\{c}" if c in marks else c for i, c in enumerate(path))
+
+
 def stream_state(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
     """digest, first, n: the final state after every file under path has passed through the stream."""
     held = {k: spark.conf.get(k, None) for k in STATE}
@@ -63,7 +71,7 @@ def stream_state(spark: SparkSession, path: str, digest=sha256, files_per_batch:
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
         # as a pattern, since a stream takes a folder or a pattern, but no single file
-        state = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest).groupBy("digest").agg(_first(), F.count("*").alias("n"))
+        state = _rows(reader.parquet(_pattern(path)), digest).groupBy("digest").agg(_first(), F.count("*").alias("n"))
         out, seen = new_path(spark, "dedup-state"), []
 
         def keep(batch: DataFrame, number: int) -> None:
@@ -129,10 +137,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. The rows land in the shared folder first, which gives each a locator."""
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "dedup-land")
     docs.write.parquet(path)
-    stay = dedup_files(spark, path).filter("kept").select(F.col("file").alias("_file"), F.col("pos").alias("_pos"))
+    file, pos = unused(docs.columns, "file", "pos")
+    stay = dedup_files(spark, path).filter("kept").select(F.col("file").alias(file), F.col("pos").alias(pos))
     landed = spark.read.schema(docs.schema).parquet(path)
-    landed = landed.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
-    return landed.join(stay, ["_file", "_pos"], "left_semi").drop("_file", "_pos")
+    at = landed.metadataColumn("_metadata")
+    landed = landed.select("*", at["file_path"].alias(file), at["row_index"].alias(pos))
+    return landed.join(stay, [file, pos], "left_semi").drop(file, pos)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

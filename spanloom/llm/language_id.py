@@ -5,8 +5,9 @@ longest character n-grams that the model knows: all its 5-grams first, then 4-gr
 A text's score per language is the mean over its words; the prediction is the best, and its score the
 posterior of a softmax over that mean times the number of words, at most CERTAIN.
 
-Words are counted over all training texts, each task combining its own counts first. The model is what is
-broadcast, and its size is bounded: the WORDS most frequent words and GRAMS most frequent n-grams of all, for at most LANGUAGES languages; rarer words are scored by n-grams.
+Words of any length are counted over all training texts, each task combining its own counts first. The model is what is
+broadcast, and its size is bounded: WORDS words and GRAMS n-grams, each language having an equal quota, so that a small language's don't give way to a large one's. Those of a language stay whose count
+reaches the least threshold that keeps no more than its quota; rarer words are scored by n-grams. Thresholds come from histograms of the counts, so nothing is sorted. At most LANGUAGES languages are learnt, those with the most words.
 
 Defined cases: a text that is null or has no letter is "und" with score 0, and so is every text where no
 language can be learnt; rows with a null language or null text teach nothing; ties go to the language that comes first by name; repeated rows count each;
@@ -16,21 +17,25 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fold_of, table
+from spanloom.llm.common import fold_of, remove, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the model.
 WORDS, GRAMS, LANGUAGES, LONGEST = 100_000, 100_000, 256, 5
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 300_000
+#: Counts up to this one have bins of their own in the histograms; above, bins keep as many leading bits.
+BINS = 1 << 10
 #: Unseen words whose rows a task keeps before it starts anew.
 STORE = 100_000
 CERTAIN = 40.0
@@ -61,7 +66,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(w for w in words_of(text) if len(w) <= 64)
+            counts.setdefault(lang, Counter()).update(words_of(text))
         if sum(map(len, counts.values())) > FLUSH:
             yield out()
             counts = {}
@@ -91,22 +96,29 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Languages, and a row of log frequencies for each known word and n-gram."""
 
-    def __init__(self, langs: list[str], words: list, grams: list) -> None:
-        self.langs, at = langs, {lang: i for i, lang in enumerate(langs)}
-        self.words = {item: i for i, (item, _) in enumerate(words)}
-        self.rows, self.grams = self._rows(words, at), {}
+    def __init__(self, langs: list[str], words: pa.Table, grams: pa.Table) -> None:
+        """From tables of lang, item and n; all of an item's languages are there."""
+        self.langs = langs
+        items, counts = self._counts(words)
+        self.words, self.rows, self.grams = {item: i for i, item in enumerate(items)}, self._logs(counts), {}
+        items, counts = self._counts(grams)
+        sizes = np.fromiter(map(len, items), np.int64, len(items))
         for size in range(1, LONGEST + 1):
-            own = [r for r in grams if len(r[0]) == size]
-            self.grams |= zip((item for item, _ in own), self._rows(own, at), strict=True)
+            own = np.flatnonzero(sizes == size)
+            self.grams |= zip((items[i] for i in own), self._logs(counts[own]), strict=True)
+
+    def _counts(self, found: pa.Table) -> tuple[list[str], np.ndarray]:
+        coded = found["item"].combine_chunks().dictionary_encode()
+        items = coded.dictionary.to_pylist()
+        counts = np.zeros((len(items), len(self.langs)))
+        lang = pa.compute.index_in(found["lang"], pa.array(self.langs, pa.string())).to_numpy()
+        np.add.at(counts, (coded.indices.to_numpy(), lang), found["n"].to_numpy())
+        order = sorted(range(len(items)), key=items.__getitem__)
+        return [items[i] for i in order], counts[order]
 
     @staticmethod
-    def _rows(items: list, at: dict[str, int]) -> np.ndarray:
-        total, rows = np.ones(len(at)), np.full((len(items), len(at)), 0.5)
-        for row, (_, counts) in zip(rows, items, strict=True):
-            for lang, n in counts:
-                row[at[lang]] += n
-                total[at[lang]] += n
-        return np.log(rows / total)
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.5) / (counts.sum(0) + 1))
 
     def word(self, word: str) -> np.ndarray:
         found = self.words.get(word)
@@ -158,33 +170,58 @@ class Store:
         return self.rows[found]
 
 
+#: A worker process's store for the model it last met.
+_STORES: dict[str, Store] = {}
+
+
+def _store(name: str, held) -> Store:
+    if name not in _STORES:
+        _STORES.clear()
+        _STORES[name] = Store(held.value)
+    return _STORES[name]
+
+
 def fit(train: DataFrame) -> Model:
     """Learn from lang and text of all rows of train."""
     known = train.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
     words = known.mapInArrow(_count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    from spanloom.llm.common import remove, stored
-
     words = stored(words, "langid-words")
-    grams = words.mapInArrow(_count_grams, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-
-    def top(counts: DataFrame, most: int) -> list:
-        rows = counts.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        return [(r["item"], [(b["lang"], b["n"]) for b in r["by"]]) for r in rows.orderBy(F.desc("total"), "item").limit(most).collect()]
-
     langs = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     names = sorted(r["lang"] for r in langs)
     kept = words.filter(F.col("lang").isin(names)) if names else words
-    model = Model(names, top(kept, WORDS), top(grams.filter(F.col("lang").isin(names)) if names else grams, GRAMS))
+    grams = stored(kept.mapInArrow(_count_grams, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "langid-grams")
+    model = Model(names, most_frequent(kept, names, WORDS), most_frequent(grams, names, GRAMS))
     remove(words)
+    remove(grams)
     return model
 
 
+def most_frequent(counts: DataFrame, langs: list[str], most: int) -> pa.Table:
+    """lang, item and n of the items that reach the threshold of any language; with each, all of its languages. At most `most` items, and their languages."""
+    n = F.col("n")
+    low = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(n)) - BINS.bit_length())).cast("long")
+    bins = counts.groupBy("lang", (n - n % low).alias("low")).agg(F.count("*").alias("items")).toArrow().to_pylist()
+    least = {}
+    for lang in langs:
+        held = 0
+        for r in sorted((r for r in bins if r["lang"] == lang), key=lambda r: -r["low"]):
+            held += r["items"]
+            if held > most // len(langs):
+                break
+            least[lang] = r["low"]
+    if not least:
+        return counts.limit(0).toArrow()
+    need = F.element_at(F.create_map(*[F.lit(v) for kv in least.items() for v in kv]), F.col("lang"))
+    items = counts.filter(n >= need).select("item").distinct()
+    return counts.join(F.broadcast(items), "item", "left_semi").select("lang", "item", "n").toArrow()
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score for each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(held.value)
+        store = _store(name, held)
         for batch in batches:
             found = [held.value.predict(t, store) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -9,9 +9,11 @@ A bucket's pairs are never all made: each member is first held against the bucke
 Verified links give components. What is left are buckets with several components. There, members of different components whose sizes and sketches allow the threshold are
 held against each other on their full sets, block by block, in the first band that they share. So links within a component are never searched for, pairs are never
 rows, and all others that a band brings together are verified. A pair at similarity 0.75 shares no band with a probability of 5e-6.
+Sets are held as 64-bit hashes of their shingles; a pair that they call similar is confirmed on the words themselves before it becomes a link.
 
 Defined cases: a text that is null or has no words has no shingles and no links; a null id too takes no part in links and is its own component (null); rows with equal ids
-are one document, linked with each other; an empty table gives an empty result; other columns are ignored (group_rows) or carried (first_of_groups).
+are one document, linked with each other, to group_rows, but documents of their own to first_of_groups; an empty table gives an empty result; a text of any length is hashed in
+parts of CHUNK bytes; other columns are ignored (group_rows) or carried, whatever their names (first_of_groups).
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import UNIT_BYTES, remove, stored, table
+from spanloom.session import unused
 
 WORDS, SIZE, BANDS, ROWS = 5, 512, 32, 4
 NUMERATOR, DENOMINATOR = 75, 100
@@ -63,6 +66,16 @@ def _word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M3), ends
 
 
+def _parts(text: bytes) -> Iterator[np.ndarray]:
+    """A normal text in buffers of about CHUNK bytes, cut between words."""
+    at = 0
+    while at < len(text):
+        cut = len(text) if len(text) - at <= CHUNK else text.find(b" ", at + CHUNK)
+        cut = len(text) if cut < 0 else cut
+        yield np.frombuffer(text[at:cut] + b"\n", np.uint8)
+        at = cut + 1
+
+
 def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each normal text's shingles; none for an empty text."""
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
@@ -76,9 +89,13 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
         a = b
         if not some:
             continue
-        buf = np.frombuffer(b"\n".join(texts[i] for i in some) + b"\n", np.uint8)
-        w, ends = _word_hashes(buf)
-        last = np.flatnonzero(buf[ends] == 10) + 1
+        if len(some) == 1:
+            w = np.concatenate([_word_hashes(part)[0] for part in _parts(texts[some[0]])])
+            last = np.array([len(w)])
+        else:
+            buf = np.frombuffer(b"\n".join(texts[i] for i in some) + b"\n", np.uint8)
+            w, ends = _word_hashes(buf)
+            last = np.flatnonzero(buf[ends] == 10) + 1
         n = len(w) - words + 1
         s = np.zeros(max(n, 0), np.uint64)
         for j in range(words):
@@ -137,6 +154,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both) and both > 0
 
 
+def _ranks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers for pairs of numbers, equal for equal pairs alone."""
+    return np.unique(x * (int(y.max(initial=0)) + 1) + y, return_inverse=True)[1]
+
+
+def confirmed(a: bytes, b: bytes) -> bool:
+    """Whether two normal texts' shingle sets, as words and not as hashes, are similar."""
+    ids: dict[bytes, int] = {}
+    first, second = a.split(b" "), b.split(b" ")
+    if min(len(first), len(second)) < WORDS:
+        return first == second
+    word = np.fromiter((ids.setdefault(w, len(ids)) for w in [*first, *second]), np.int64, len(first) + len(second))
+    shingle = word
+    for j in range(1, WORDS):
+        shingle = _ranks(shingle[:-1], word[j:])
+    x, y = np.unique(shingle[: len(first) - WORDS + 1]), np.unique(shingle[len(first) :])
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
 _SKETCHED = "doc_id long, n long, digest binary, keys array<long>, bands binary, sig binary"
 
 
@@ -178,7 +215,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = zip(*(batch[c].to_pylist() for c in ("a", "b", "ta", "tb")), strict=True)
-        good = [(a, b) for a, b, ta, tb in rows if similar(of(a, ta), of(b, tb))]
+        good = [(a, b) for a, b, ta, tb in rows if similar(of(a, ta), of(b, tb)) and confirmed(ta, tb)]
         cols = list(zip(*good, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
@@ -209,8 +246,6 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-
-
 def _close(t: pa.Table) -> pa.Table:
     """Members of a bucket's two blocks to the links between different components, each verified on the full shingle sets.
 
@@ -245,7 +280,7 @@ def _close(t: pa.Table) -> pa.Table:
         good = (same >= LEAST_EQUAL) & ~(bands[js, :here] == bands[i, :here]).any(1)
         for j in js[good][np.argsort(-same[good], kind="stable")].tolist():
             a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and similar(of(int(i)), of(j)):
+            if a != b and similar(of(int(i)), of(j)) and confirmed(norms[int(i)].as_py(), norms[j].as_py()):
                 root[max(a, b)] = min(a, b)
                 links.append((int(ids[i]), int(ids[j])))
     cols = list(zip(*links, strict=True)) or [(), ()]
@@ -301,11 +336,19 @@ def _normal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their group, with all columns; of rows with equal ids one stays."""
-    groups = group_rows(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(groups, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    named = stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(stay.filter("doc_id IS NULL"))
+    """The rows of docs that are the first of their group by doc_id (a null comes last, and the row written first on a tie), with all columns.
+
+    Rows are numbered once, in files of their own, and grouped by their numbers, so equal ids of different texts don't meet."""
+    (row,) = unused(docs.columns, "row")
+    held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    groups = group_rows(held.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
+    several = groups.filter("row <> comp").select("comp").distinct()
+    members = groups.join(several, "comp", "left_semi").join(held.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id")), "row")
+    members = stored(members.select("comp", "row", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("place")), "near-members")
+    firsts = members.groupBy("comp").agg(F.min("place").alias("place"))
+    gone = members.select("row").join(firsts.select(F.col("place.row").alias("row")), "row", "left_anti").withColumnRenamed("row", "gone")
+    stay = held.join(gone, held[row] == gone["gone"], "left_anti")
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

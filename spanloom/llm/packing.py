@@ -1,7 +1,7 @@
 """Packing of documents into sequences: first-fit decreasing on a tournament tree, in randomised groups.
 
-A hash of id and text deals the documents to groups of about 4 MB of text, so that every group
-is packed alone, in one task and bounded memory, and the number of groups grows with the input. A document's
+A hash of where a row lies (its file and row number) deals the documents to groups of about 4 MB of text, so that every group
+is packed alone, in one task and bounded memory, however many rows are copies of one, and the number of groups grows with the input. A document's
 tokens fill whole sequences first. The remainders, longest first, go each to the first bin with room, which
 a tournament tree of bin capacities finds in logarithmic time. What room is left is then filled by cutting the
 pieces of the emptiest bins, and the last bin is cut into sequences of a power of two, which need no padding.
@@ -10,7 +10,7 @@ Tokens come from the tokenizer file itself. Its pre-tokenizer drops white space
 characters, so text between white space encodes on its own; each worker keeps the ids of what it met.
 
 Defined cases: a null text counts as empty and has the closing id alone; repeated rows and equal ids are packed
-as documents of their own; an empty table gives an empty result; other columns are ignored.
+as documents of their own; an empty table gives an empty result; other columns are ignored, whatever their names; rows that don't come from files are written first.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import UNIT_BYTES, table, units_of
+from spanloom.llm.common import UNIT_BYTES, stored, table, units_of
 
 END_ID = 2
 SEQUENCE = 4096
@@ -181,6 +182,19 @@ def plan(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int, int,
     return done
 
 
+def _located(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the file and row number that tell a row from its copies."""
+
+    def read(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), at["file_path"].alias("file"), at["row_index"].alias("pos"))
+
+    try:
+        return read(docs)
+    except AnalysisException:  # not the rows of files
+        return read(stored(docs.select("doc_id", "text"), "packing-rows"))
+
+
 def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, unit_bytes: int = UNIT_BYTES // 2, seed: int = 7) -> DataFrame:
     """doc_id and text to one row per piece; see SCHEMA."""
     path, groups = path or tokenizer_path(), units_of(docs, unit_bytes=unit_bytes)
@@ -205,11 +219,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, unit_by
                 offset += n
         yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit(seed)), F.lit(groups)).alias("grp"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
+    dealt = _located(docs).select(F.pmod(F.xxhash64("file", "pos", F.lit(seed)), F.lit(groups)).alias("grp"), "doc_id", "text")
     return dealt.groupBy("grp").applyInArrow(run, SCHEMA)
 
 

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +33,8 @@ from spanloom.llm.common import stored, table, units_of
 LENGTH, K = 50, 16
 #: Bytes hashed at once, of text between a task's flushes, of T sorted at once (an anchor's segments stay together), and of text in a bucket or shard.
 CHUNK, FLUSH, SORTED, UNIT = 1 << 17, 6 << 20, 1 << 17, 4 << 20
-MOST_BUCKETS = 1 << 16
+#: Partitions that buckets are dealt to at most; a partition's buckets are sorted, and read one at a time.
+PARTS = 1 << 14
 _LAST = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -180,7 +180,8 @@ def _scan(buckets: int, shards: int, length: int, k: int):
         if len(who):
             doc = np.array(ids, np.int64)
             h = h.astype(np.uint64)
-            bucket = ((h * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64)
+            # an anchor's hash is the least of many, so small ones are common: mixed again, buckets are even
+            bucket = (((_mixed(h * _M1) >> np.uint64(28)) * np.uint64(buckets)) >> np.uint64(36)).astype(np.int64)
             for part in _dealt(bucket):
                 order, least, _, _ = _classes(h[part] & np.uint64(0xFFFFFFFF), seg[part], doc[who[part], 0])
                 part, kept = part[order], least
@@ -209,32 +210,50 @@ def _scan(buckets: int, shards: int, length: int, k: int):
 
 
 def _by_bucket(run):
-    """Apply run to the rows of each bucket of a task; a bucket's rows are all in one task, in any order. Spares the JVM a sort of long rows."""
+    """Apply run to the rows of each bucket of a task, whose rows are sorted by bucket: one bucket is held at a time."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        held: dict[int, list[pa.RecordBatch]] = {}
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            # copies, since a slice would hold its whole batch
-            for b in set(batch["bucket"].to_pylist()):
-                held.setdefault(b, []).append(batch.filter(pa.compute.equal(batch["bucket"], b)))
-            del batch
-        for b in sorted(held):
-            yield from run(pa.Table.from_batches(held.pop(b))).to_batches()
+            bucket = batch["bucket"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[0]["bucket"][0].as_py() != bucket[a]:
+                    done, held = held, []
+                    yield from run(done).to_batches()
+                held.append(batch.slice(a, b - a))
+        if held:
+            done, held = held, []
+            yield from run(done).to_batches()
 
     return over
 
 
+def _dealt_by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """All rows of a bucket in one partition, one bucket after the other; the sort spills where a partition holds many."""
+    parts = min(PARTS, buckets)
+    return rows.withColumn("part", F.floor(F.col("bucket") * parts / buckets).cast("int")).repartitionById(parts, "part").drop("part").sortWithinPartitions("bucket")
+
+
+def _column(held: list[pa.RecordBatch], name: str) -> list[bytes]:
+    return [x for batch in held for x in batch[name].to_pylist()]
+
+
 def _settle(shards: int):
     """A bucket's records to settled windows, and to segments that are wanted as bytes, by shard."""
 
-    def run(t: pa.Table) -> pa.Table:
-        seen = t["seen"].to_pylist()
+    def run(held: list[pa.RecordBatch]) -> pa.Table:
+        bucket, seen = held[0]["bucket"][0].as_py(), _column(held, "seen")
+        names = [np.frombuffer(d, np.int64).reshape(-1, 2) for d in _column(held, "docs")]
+        gone = _unpacked(_column(held, "gone"), _GONE)
+        held.clear()
         c, sizes = _unpacked(seen, _SEEN), [len(x) // sum(np.dtype(k).itemsize for k in _SEEN.values()) for x in seen]
-        names = [np.frombuffer(d, np.int64).reshape(-1, 2) for d in t["docs"].to_pylist()]
+        del seen
         step = np.repeat(np.cumsum([0, *map(len, names)][:-1]), sizes)
         doc = np.concatenate(names)[c["doc"].astype(np.int64) + step] if len(c["h"]) else np.empty((0, 2), np.int64)
-        gone = _unpacked(t["gone"].to_pylist(), _GONE)
         wanted = np.empty(0, np.int64)
         if len(doc):
             order, least, own, anchor = _classes(c["h"], c["seg"], doc[:, 0])
@@ -242,7 +261,7 @@ def _settle(shards: int):
             several = np.repeat(np.add.reduceat(own, first) > 1, np.diff(np.r_[first, len(own)]))
             late, wanted = order[~least], order[least & several]
             gone = {"row": np.r_[gone["row"], doc[late, 1]], "lo": np.r_[gone["lo"], c["lo"][late]], "n": np.r_[gone["n"], c["n"][late]]}
-        high = np.uint64(t["bucket"][0].as_py() << 32)
+        high = np.uint64(bucket << 32)
         asked = {"row": doc[wanted, 1], "lo": c["lo"][wanted], "n": c["n"][wanted], "anchor": c["h"][wanted].astype(np.uint64) | high}
         out = [(int(gone["row"][p[0]] % shards), _packed({k: v[p] for k, v in gone.items()}, _GONE), b"") for p in _dealt(gone["row"] % shards)]
         out += [(int(asked["row"][p[0]] % shards), b"", _packed({k: v[p] for k, v in asked.items()}, _OPEN)) for p in _dealt(asked["row"] % shards)]
@@ -272,9 +291,10 @@ def _fetch(length: int):
 def _expand(shards: int, length: int):
     """A bucket's segments as bytes to the windows that go, by shard."""
 
-    def run(t: pa.Table) -> pa.Table:
-        c = _unpacked(t["held"].to_pylist(), _BYTES)
-        data = np.frombuffer(b"".join(t["data"].to_pylist()), np.uint8)
+    def run(held: list[pa.RecordBatch]) -> pa.Table:
+        c = _unpacked(_column(held, "held"), _BYTES)
+        data = np.frombuffer(b"".join(_column(held, "data")), np.uint8)
+        held.clear()
         sizes = c["n"].astype(np.int64) + length - 1
         base = np.cumsum(np.r_[0, sizes[:-1]])
         order = np.argsort(c["anchor"], kind="stable")
@@ -387,18 +407,17 @@ def spans_of(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, the text as bytes and spans, the runs [start, end) of its bytes that go."""
-    shards = units_of(docs, unit_bytes=UNIT)
-    buckets = min(MOST_BUCKETS, shards)
+    shards = buckets = units_of(docs, unit_bytes=UNIT)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     ).withColumn("shard", F.pmod("row", F.lit(shards)))
     texts = rows.groupBy("shard")
     scanned = rows.select("id", "row", "text").mapInArrow(_scan(buckets, shards, length, k), "bucket long, docs binary, seen binary, gone binary")
-    settled = stored(scanned.repartition(buckets, "bucket").mapInArrow(_by_bucket(_settle(shards)), _OUT), "substring-settled")
+    settled = stored(_dealt_by_bucket(scanned, buckets).mapInArrow(_by_bucket(_settle(shards)), _OUT), "substring-settled")
     wanted = settled.filter(F.length("open") > 0).groupBy("shard")
     fetched = texts.cogroup(wanted).applyInArrow(_fetch(length), "bucket long, held binary, data binary")
-    found = fetched.repartition(buckets, "bucket").mapInArrow(_by_bucket(_expand(shards, length)), _OUT)
+    found = _dealt_by_bucket(fetched, buckets).mapInArrow(_by_bucket(_expand(shards, length)), _OUT)
     gone = settled.filter(F.length("gone") > 0).unionByName(found).groupBy("shard")
 
     def cover(texts: pa.Table, gone: pa.Table) -> pa.Table:

@@ -6,7 +6,7 @@ tokenizers: at an end a later start wins only with a strictly better score; a ch
 own covers costs the least score less 10 and becomes its UTF-8 bytes (byte fallback), or else one unknown piece
 for each run of such characters.
 
-A text is cut at ASCII white space, and every word gets the mark U+2581 in front. A worker keeps the counts of the words it met.
+A text is cut at ASCII white space, and every word gets the mark U+2581 in front. A worker process keeps one automaton for a vocabulary, and the counts of the words it met.
 
 Defined cases: null and empty texts have no words, no tokens and score 0; repeated rows give equal rows; an
 empty table gives an empty result; other columns are ignored.
@@ -14,6 +14,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -31,6 +32,8 @@ STORE, KEPT = 300_000, 64
 #: ASCII white space; str.split() would cut at more.
 SPACE = re.compile("[\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, n_words long, n_tokens long, score double"
+#: What a worker process keeps between tasks: a vocabulary's counting function, and its words' counts.
+_KEPT: dict[str, tuple[Callable[[str], tuple[int, float]], dict[str, tuple[int, float]]]] = {}
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -82,11 +85,20 @@ def counter(pieces: list[tuple[str, float]], byte_fallback: bool = True) -> Call
     return count
 
 
+def _kept(name: str, held, byte_fallback: bool) -> tuple[Callable[[str], tuple[int, float]], dict[str, tuple[int, float]]]:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = counter(held.value, byte_fallback), {}
+    return _KEPT[name]
+
+
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], byte_fallback: bool = True) -> DataFrame:
-    """doc_id, n_words, n_tokens and score of each row. The vocabulary travels with the code; its size doesn't depend on the documents."""
+    """doc_id, n_words, n_tokens and score of each row. The vocabulary is broadcast; its size doesn't depend on the documents."""
+    held = docs.sparkSession.sparkContext.broadcast(pieces)
+    name = hashlib.sha256(repr((pieces, byte_fallback)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, store = counter(pieces, byte_fallback), {}
+        count, store = _kept(name, held, byte_fallback)
         for batch in batches:
             rows = []
             for text in batch["text"].to_pylist():

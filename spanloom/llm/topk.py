@@ -3,14 +3,15 @@
 Inner products become distances: a candidate x gets one more component sqrt(R^2 - |x|^2), R being the greatest
 norm, and a query gets 0 there, so that d^2 = |q|^2 + R^2 - 2 q.x. Distances of every candidate to PIVOTS candidates are computed once.
 For a query, the greatest |d(q, pivot) - d(x, pivot)| is a lower bound of d(q, x), hence an upper bound of the score. Candidates
-are scored exactly in the order of their bounds, in slices, until the k-th best score is above every bound that is left.
+are scored exactly in the order of their bounds, in slices, until the k-th best score is above every bound that is left. As the pivots are candidates themselves, every block
+starts from the k-th best score among them, however its own candidates turn out.
 
 Candidates and queries are dealt to blocks of bounded size, and each block of queries meets each block of candidates in a task of its own;
 the blocks' best k are merged by rank. Both numbers of blocks grow with the table.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; nor do those with a null id or
 another length than most vectors' (the smaller one on a tie); of rows with equal id and vector, each is a candidate, except to queries with
-that id; repeated query ids with one vector count once; a query with fewer candidates than k returns all; an empty table gives an empty result; other columns are ignored.
+that id; of several vectors of one query id the least asks, once; a query with fewer candidates than k returns all; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,21 +44,25 @@ def _matrix(batch: pa.Table | pa.RecordBatch) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64)
 
 
-def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, pivots: np.ndarray, radius: float, k: int) -> list[tuple[int, int, int]]:
+def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, pivots: np.ndarray, pivot_ids: np.ndarray, radius: float, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of the k best candidates of each query within one block."""
     out, n = [], len(ids)
     lifted = np.c_[q, np.zeros(len(q))]
     dq = np.sqrt(np.maximum(0, ((lifted[:, None] - pivots[None]) ** 2).sum(-1))).astype(np.float32)
     reach = (q * q).sum(1) + radius**2
     slack = 1e-3 * np.maximum(1.0, np.sqrt(reach))  # of distances in single precision
+    known = q @ pivots[:, :-1].T  # scores of candidates that some block holds
     for i, query in enumerate(query_ids):
         low = np.zeros(n, np.float32)
         for p in range(len(pivots)):
             np.maximum(low, np.abs(dx[p] - dq[i, p]), out=low)
         bound = np.floor((reach[i] - np.maximum(0, low.astype(np.float64) - slack[i]) ** 2) / 2 + 1e-6)
+        other = np.sort(known[i][pivot_ids != query])
+        sure = other[-k] if len(other) >= k else -np.inf
         order = np.argsort(-bound)
+        order = order[: np.searchsorted(-bound[order], -sure, side="right")]
         got_ids, got = np.empty(0, np.int64), np.empty(0, np.float64)
-        for s in range(0, n, SLICE):
+        for s in range(0, len(order), SLICE):
             part = order[s : s + SLICE]
             if len(got) >= k and bound[part[0]] < got[k - 1]:
                 break
@@ -80,11 +85,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, total = sizes[0]["d"], sizes[0]["n"]
-    vectors, queries = vectors.filter(F.size("v") == dim), queries.filter(F.size("v") == dim).dropDuplicates(["vec_id"])
+    vectors, queries = vectors.filter(F.size("v") == dim), queries.filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     radius = float(vectors.agg(F.max(norm)).first()[0]) ** 0.5
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()  # PIVOTS rows
-    p = np.array([r["v"] for r in chosen], dtype=np.float64).reshape(len(chosen), dim)
+    p, pivot_ids = np.array([r["v"] for r in chosen], dtype=np.float64).reshape(len(chosen), dim), np.array([r["vec_id"] for r in chosen])
     p = np.c_[p, np.sqrt(np.maximum(0, radius**2 - (p * p).sum(1)))]
     nx = max(1, -(-total // row_block))
     nq = max(1, -(-queries.count() // query_block))
@@ -104,7 +109,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
         q, x = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
         if len(q) and len(x):
             d = x["d"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-            rows = _best(q["vec_id"].to_numpy(), _matrix(q), x["vec_id"].to_numpy(), _matrix(x), np.ascontiguousarray(d.T), p, radius, k)
+            rows = _best(q["vec_id"].to_numpy(), _matrix(q), x["vec_id"].to_numpy(), _matrix(x), np.ascontiguousarray(d.T), p, pivot_ids, radius, k)
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 

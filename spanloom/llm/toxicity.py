@@ -2,13 +2,17 @@
 
 Examples are a bounded sample of labelled rows (EXAMPLES, the first by a hash of the id). Terms are words and the first letters of longer
 words. The vectors range over all terms of the sample. Terms that tell the labels apart in the sample (a likelihood ratio that no term would be likely to
-reach by chance, given how many were tried), at most TERMS, weigh TELLING times as much. The vectors stand in an inverted index cut into
-blocks of BLOCK examples, with the greatest weight of each term in each block. For a text, the blocks' bounds are summed from its terms and the blocks are
-scored in order of their bounds, exactly, until no bound can beat the k-th best. The neighbours vote with their similarity; PRIOR votes of the sample's share
-of toxic rows keep the score calibrated where few or no neighbours are near. The neighbours are the evidence.
+reach by chance, given how many were tried), at most TERMS, weigh TELLING times as much.
+
+The vectors stand in an inverted index cut into blocks of BLOCK examples, with the greatest weight of each term in each block. The terms with the longest
+postings, as many as DENSE cells hold, stand in full instead, so that a batch of texts meets them in one matrix product. For a text, a block's bound is the greatest
+of its examples' sums over these terms, plus the sum of the block's greatest weights of the others. Blocks are scored exactly in order of their bounds, until no bound can beat
+the k-th best. The neighbours vote with their similarity; PRIOR votes of the sample's share
+of toxic rows keep the score calibrated where few or no neighbours are near. The neighbours are the evidence. Similarities are rounded to nine places, so that equal examples tie.
 
 Defined cases: a null text counts as empty; a text without known terms gets the sample's share; of several labels of one row the greatest counts; null
-labels are ignored; without any labelled row every score is 0; ties in similarity go to the smaller id; an empty table gives an empty result; other columns are ignored.
+labels are ignored; without any labelled row every score is 0; ties in similarity go to the smaller id; repeated rows and equal ids are scored each by its own text;
+an empty table gives an empty result; other columns are ignored by score() and carried by reject(), whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ from __future__ import annotations
 import math
 import pickle
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ EXAMPLES, TERMS = 8192, 20_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Blocks that are scored before the k-th best rules others out.
 FIRST_BLOCKS = 8
+#: Cells (terms x examples) of the terms that stand in full, texts that meet them at once, and words whose terms a worker keeps.
+DENSE, BATCH, STORE = 1 << 22, 64, 300_000
 #: A term that tells labels apart has LEAST rows and SHARE of the rarer label's rows at least, and a likelihood ratio of 2 ln(terms tried) at least.
 LEAST, SHARE, TELLING = 3, 0.02, 8.0
 PREFIX = 5
@@ -63,156 +68,268 @@ def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Index:
     """Examples as TF-IDF vectors of unit length, in blocks."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], share: float, k: int = NEIGHBOURS, block: int = BLOCK) -> None:
-        self.idf, self.share, self.k, self.block = idf, share, k, block
-        terms, vectors = {t: j for j, t in enumerate(sorted(idf))}, []
-        for i, y, c in examples:
-            if v := self.vector(c):
-                at = np.fromiter(map(terms.get, v), np.int32, len(v))
-                norm = sum(((1 + math.log(c[t])) * idf[t]) ** 2 for t in v) ** 0.5
-                vectors.append((max(sorted(v), key=v.get), i, y, at, np.fromiter((c[t] for t in v), np.uint32, len(v)), norm))
-        # alike examples side by side make tight bounds
-        vectors.sort(key=lambda x: x[:2])
-        self.ids, self.labels = [v[1] for v in vectors], [v[2] for v in vectors]
-        self.norms = np.array([v[5] for v in vectors])
-        term = np.concatenate([np.empty(0, np.int32), *(v[3] for v in vectors)])
-        times = np.concatenate([np.empty(0, np.uint32), *(v[4] for v in vectors)])
-        at = np.repeat(np.arange(len(vectors), dtype=np.uint32), [len(v[3]) for v in vectors])
-        order = np.lexsort((at, term))
-        self._enter(np.bincount(term, minlength=len(idf)).astype(np.uint32), at[order], times[order])
-
-    def _enter(self, counts: np.ndarray, at: np.ndarray, times: np.ndarray) -> None:
-        """Make the index from the number of postings of each term, and their examples and numbers of times."""
-        self.held = (counts, at, times)
-        names = sorted(self.idf)
-        self.terms = {t: j for j, t in enumerate(names)}
-        term = np.repeat(np.arange(len(names)), counts)
-        self.at, self.blocks = at.astype(np.intp), -(-len(self.ids) // self.block)
-        self.weight = (1 + np.log(times)) * np.array([self.idf[t] for t in names])[term] / self.norms[self.at]
-        # an entry is a term in a block: its block, its greatest weight, and its postings; terms have entries from first[term] on
-        key = term * max(1, self.blocks) + self.at // self.block
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.block_of, self.start = self.at[start] // self.block, np.r_[start, len(key)]
-        self.first = np.searchsorted(term[start], np.arange(len(names) + 1))
+    def __init__(
+        self, examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], share: float, k: int = NEIGHBOURS, block: int = BLOCK, dense: int = DENSE
+    ) -> None:
+        names = sorted(idf)
+        at = {t: j for j, t in enumerate(names)}
+        held = [(i, y, {t: n for t, n in c.items() if t in at}) for i, y, c in examples]
+        row = np.repeat(np.arange(len(held)), [len(c) for _, _, c in held])
+        term = np.array([at[t] for _, _, c in held for t in c], np.int64)
+        times = np.array([n for _, _, c in held for n in c.values()], np.int64)
+        ids, labels = np.array([i for i, _, _ in held], np.int64), np.array([y for _, y, _ in held], np.int64)
+        self._learn(names, np.array([idf[t] for t in names], float), ids, labels, row, term, times, share, (k, block, dense))
+
+    @classmethod
+    def of(cls, names: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, share: float) -> Index:
+        """From sorted names of terms with their idf, and one entry of row, term and times for each term of an example."""
+        new = cls.__new__(cls)
+        new._learn(names, idf, ids, labels, row, term, times, share, (NEIGHBOURS, BLOCK, DENSE))
+        return new
+
+    def _learn(self, names, idf, ids, labels, row, term, times, share, sizes) -> None:
+        weight = (1 + np.log(np.maximum(times, 1))) * idf[term] if len(term) else np.empty(0)
+        norms = np.sqrt(np.bincount(row, weight * weight, len(ids)))
+        # alike examples side by side make tight bounds: by their heaviest term
+        heavy = np.full(len(ids), len(names))
+        order = np.lexsort((-term, weight, row))
+        heavy[row[order]] = term[order]
+        order = np.lexsort((ids, heavy))
+        order = order[norms[order] > 0]
+        place = np.zeros(len(ids), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.lexsort((place[row], term))
+        self._enter((names, idf, share, sizes, ids[order], labels[order], norms[order], np.bincount(term, minlength=len(names)).astype(np.uint32),
+                           place[row[by]].astype(np.uint32), times[by].astype(np.uint32)))
 
     def __getstate__(self) -> bytes:
         """What is broadcast: the postings alone, as each executor writes it to disk."""
-        return zlib.compress(pickle.dumps((self.idf, self.share, self.k, self.block, self.ids, self.labels, self.norms, self.held)), 1)
+        return zlib.compress(pickle.dumps(self.held), 1)
 
     def __setstate__(self, state: bytes) -> None:
-        self.idf, self.share, self.k, self.block, self.ids, self.labels, self.norms, held = pickle.loads(zlib.decompress(state))  # noqa: S301
-        self._enter(*held)
+        self._enter(pickle.loads(zlib.decompress(state)))  # noqa: S301
+        self.held = None  # a worker sends it no further
+
+    def _enter(self, held: tuple) -> None:
+        self.held = held
+        self.names, self.idf, self.share, (self.k, self.block, dense), ids, labels, norms, counts, at, times = held
+        self.terms = {t: j for j, t in enumerate(self.names)}
+        self.ids, self.labels, n = ids.tolist(), labels.tolist(), len(ids)
+        self.id_of, self.blocks, self.words, self.known = ids, -(-n // self.block), {}, np.empty((0, 3), np.int32)
+        term = np.repeat(np.arange(len(self.names), dtype=np.int32), counts)
+        weight = (1 + np.log(np.maximum(times, 1))) * self.idf[term] / norms[at] if n else np.empty(0)
+        # the terms with the longest postings, by number on a tie
+        full = np.argsort(-counts.astype(np.int64), kind="stable")[: dense // max(1, n)]
+        self.full_of = np.full(len(self.names), -1, np.int32)
+        self.full_of[full] = np.arange(len(full))
+        mine = self.full_of[term] >= 0
+        self.full = np.zeros((len(full), n))
+        self.full[self.full_of[term[mine]], at[mine]] = weight[mine]
+        term, self.at, self.weight = term[~mine], at[~mine].astype(np.intp), weight[~mine]
+        # an entry is another term in a block: its block, its greatest weight, and its postings; terms have entries from first[term] on
+        own = self.at // self.block
+        start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (own[1:] != own[:-1])][: len(term)])
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.block_of, self.start = own[start], np.r_[start, len(term)]
+        self.first = np.searchsorted(term[start], np.arange(len(self.names) + 1))
+
+    def _word(self, word: str) -> tuple[int, int, int]:
+        """The numbers of a word, of its start and of its start met again; -1 where unknown."""
+        get, start = self.terms.get, word[:PREFIX] + "*"
+        return (get(word, -1), get(start, -1), get(start + "2", -1)) if len(word) > PREFIX else (get(word, -1), -1, -1)
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a text's known terms, and how often each comes: what terms_of() finds."""
+        counts = Counter(WORD.findall((text or "").lower()))
+        if not counts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        found = list(map(self.words.get, counts))
+        if None in found:
+            new = [w for w, i in zip(counts, found, strict=True) if i is None]
+            if len(self.words) + len(new) > STORE:
+                self.words, new = {}, list(counts)
+            used = len(self.words)
+            if used + len(new) > len(self.known):
+                self.known = np.concatenate([self.known[:used], np.empty((max(len(new), used + 1024), 3), np.int32)])
+            self.known[used : used + len(new)] = [self._word(w) for w in new]
+            self.words.update(zip(new, range(used, used + len(new)), strict=True))
+            found = list(map(self.words.get, counts))
+        term, n = self.known[found].astype(np.int64), np.fromiter(counts.values(), np.int64, len(counts))
+        word, start = term[:, 0] >= 0, term[:, 1] >= 0
+        starts, first, inverse = np.unique(term[start, 1], return_index=True, return_inverse=True)
+        times = np.bincount(inverse, n[start], len(starts)).astype(np.int64)
+        again = term[start, 2][first]
+        more = (times > 1) & (again >= 0)
+        return np.concatenate([term[word, 0], starts, again[more]]), np.concatenate([n[word], times, times[more]])
+
+    def _unit(self, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(term)
+        w = (1 + np.log(times[order])) * self.idf[term[order]]
+        return term[order], w / (np.sqrt(w @ w) or 1.0)
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        return {t: w / norm for t, w in v.items()}
+        known = {t: n for t, n in counts.items() if t in self.terms}
+        term, w = self._unit(np.array([self.terms[t] for t in known], np.int64), np.array(list(known.values()), np.int64))
+        return {self.names[t]: float(x) for t, x in zip(term, w, strict=True)}
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For unit vectors as terms and weights, the places and similarities of the k most similar examples with positive similarity."""
+        none = np.empty(0, np.int64), np.empty(0)
+        if not self.blocks:
+            yield from (none for _ in queries)
+            return
+        q = np.zeros((len(queries), len(self.full)))
+        for row, (term, w) in zip(q, queries, strict=True):
+            own = self.full_of[term]
+            row[own[own >= 0]] = w[own >= 0]
+        sums = q @ self.full
+        tops = np.maximum.reduceat(sums, np.arange(0, len(self.ids), self.block), axis=1)
+        for (term, w), sure, top in zip(queries, sums, tops, strict=True):
+            rest = self.full_of[term] < 0
+            term, w = term[rest], w[rest]
+            entries, lengths = _spans(self.first[term], self.first[term + 1])
+            weights, blocks = np.repeat(w, lengths), self.block_of[entries]
+            bound = top + np.bincount(blocks, weights * self.most[entries], self.blocks)
+            order, done, take = np.argsort(-bound, kind="stable"), 0, FIRST_BLOCKS
+            places, best = none
+            while done < self.blocks:
+                some = order[done : done + take]
+                some = some[(bound[some] > 0) & (len(best) < self.k or bound[some] + 1e-9 >= best[-1])]
+                if not len(some):
+                    break
+                now = np.zeros(self.blocks, bool)
+                now[some] = True
+                if 4 * len(some) < self.blocks:
+                    here = now[blocks]
+                    posts, lengths = _spans(self.start[entries[here]], self.start[entries[here] + 1])
+                    own = np.bincount(self.at[posts], np.repeat(weights[here], lengths) * self.weight[posts], len(self.ids))
+                else:  # most blocks: whole postings are read faster than their parts
+                    posts, lengths = _spans(self.start[self.first[term]], self.start[self.first[term + 1]])
+                    own = np.bincount(self.at[posts], np.repeat(w, lengths) * self.weight[posts], len(self.ids))
+                own = np.round(np.where(np.repeat(now, self.block)[: len(own)], own + sure, 0.0), 9)
+                hits = np.flatnonzero(own > 0)
+                if len(hits) > self.k:
+                    hits = hits[own[hits] >= np.partition(own[hits], -self.k)[-self.k]]
+                places, best = np.r_[places, hits], np.r_[best, own[hits]]
+                keep = np.lexsort((places, self.id_of[places], -best))[: self.k]
+                places, best = places[keep], best[keep]
+                done, take = done + take, self.blocks
+            yield places, best
 
     def nearest(self, counts: dict[str, int]) -> list[tuple[float, int]]:
         """The k most similar examples with positive similarity, as (similarity, place)."""
-        query = sorted(self.vector(counts).items())
-        terms = np.fromiter((self.terms[t] for t, _ in query), np.int64, len(query))
-        entries, lengths = _spans(self.first[terms], self.first[terms + 1])
-        weights = np.repeat(np.fromiter((w for _, w in query), float, len(query)), lengths)
-        blocks = self.block_of[entries]
-        bound = np.bincount(blocks, weights * self.most[entries], self.blocks)
-        order, done, take = np.argsort(-bound, kind="stable"), 0, FIRST_BLOCKS
-        best: list[tuple[float, int, int]] = []
-        while done < len(order):
-            some = order[done : done + take]
-            some = some[(bound[some] > 0) & (len(best) < self.k or bound[some] + 1e-9 >= -best[-1][0])]
-            if not len(some):
-                break
-            now = np.zeros(self.blocks, bool)
-            now[some] = True
-            here = now[blocks]
-            posts, lengths = _spans(self.start[entries[here]], self.start[entries[here] + 1])
-            own = np.bincount(self.at[posts], np.repeat(weights[here], lengths) * self.weight[posts], len(self.ids))
-            hits = np.flatnonzero(own)
-            if len(hits) > self.k:
-                hits = hits[own[hits] >= np.partition(own[hits], -self.k)[-self.k]]
-            best = sorted([*best, *((-float(own[j]), self.ids[j], int(j)) for j in hits)])[: self.k]
-            done, take = done + take, len(order)
-        return [(-s, at) for s, _, at in best]
+        known = {t: n for t, n in counts.items() if t in self.terms}
+        unit = self._unit(np.array([self.terms[t] for t in known], np.int64), np.array(list(known.values()), np.int64))
+        places, best = next(iter(self.nearest_many([unit])))
+        return list(zip(best.tolist(), places.tolist(), strict=True))
+
+    def score_many(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The score of each text, and its neighbours' places and similarities."""
+        for a in range(0, len(texts), BATCH):
+            for places, best in self.nearest_many([self._unit(*self.counted(t)) for t in texts[a : a + BATCH]]):
+                votes = sum(s * self.labels[at] for s, at in zip(best.tolist(), places.tolist(), strict=True))
+                yield (self.share * PRIOR + votes) / (PRIOR + sum(best.tolist())), places, best
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        counts = {t: n for t, n in terms_of(text).items() if t in self.idf}
-        near = self.nearest(counts) if counts else []
-        votes, total = self.share * PRIOR, PRIOR
-        for s, at in near:
-            votes, total = votes + s * self.labels[at], total + s
-        return votes / total, [(self.ids[at], self.labels[at], s) for s, at in near]
-
-
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [
-            (i, y, t, n)
-            for i, y, text in zip(batch["doc_id"].to_pylist(), batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True)
-            for t, n in terms_of(text).items()
-        ]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "label", "term", "n"])
+        score, places, best = next(self.score_many([text]))
+        return score, [(self.ids[at], self.labels[at], s) for at, s in zip(places.tolist(), best.tolist(), strict=True)]
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = [terms_of(t) for t in batch["text"].to_pylist()]
         terms, ns = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], terms, ns], names=["doc_id", "label", "terms", "n"])
+        cols = [batch[c] for c in ("doc_id", "label", "hash", "head", "tail")]
+        yield pa.RecordBatch.from_arrays([*cols, terms, ns], names=["doc_id", "label", "hash", "head", "tail", "terms", "n"])
+
+
+def _telling(term: np.ndarray, row: np.ndarray, size: int, labels: np.ndarray, alone: np.ndarray, most: int) -> np.ndarray:
+    """The terms that tell the labels apart among the rows that are marked as alone."""
+    pos, neg = int(labels[alone].sum()), int((1 - labels[alone]).sum())
+    own = alone[row]
+    df, a = np.bincount(term[own], minlength=size).astype(float), np.bincount(term[own], labels[row[own]], size)
+    tried = np.flatnonzero(df >= max(LEAST, SHARE * min(pos, neg)))
+    if not len(tried):
+        return tried
+    a, df, n = a[tried], df[tried], pos + neg
+    share = pos / n
+
+    def part(seen: np.ndarray, due: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen / due), 0.0)
+
+    ratio = 2 * (part(a, df * share) + part(df - a, df * (1 - share)) + part(pos - a, (n - df) * share) + part(neg - df + a, (n - df) * (1 - share)))
+    good = np.flatnonzero(ratio >= 2 * math.log(max(1, len(tried))))
+    return tried[good[np.argsort(-ratio[good], kind="stable")][:most]]
+
+
+def _firsts(group: np.ndarray, labels: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rows, of those in order, that are the first of their group and label."""
+    _, first = np.unique(np.stack([group[order], labels[order]], 1), axis=0, return_index=True)
+    return order[np.sort(first)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """Learn from the first rows of labels, by a hash of the id, whose texts are in docs."""
+    """Learn from the first rows of labels, by a hash of the id, whose texts are in docs. The sample's terms come to the driver, which makes the index."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     sample = stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples), "toxic-sample")
-    every = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), "toxic-examples")
-    # copies of one text are no independent evidence of which terms tell: rows that begin or end with the same words count once there
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+")
-    texts = every.withColumn("head", F.xxhash64(F.slice(words, 1, 8))).withColumn("tail", F.xxhash64(F.slice(F.reverse(words), 1, 8)))
-    alone = stored(texts.groupBy("head", "label").agg(F.min_by(F.struct("doc_id", "text", "tail"), "doc_id").alias("r")).select("label", "r.*"), "toxic-alone")
-    texts = alone.groupBy("tail", "label").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r")).select("label", "r.*")
-    own = stored(texts.mapInArrow(_terms, "doc_id long, label int, term string, n long"), "toxic-terms")
-    sizes = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    by = own.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("df"))
-    by = stored(by.filter(F.col("df") >= max(LEAST, SHARE * min(pos, neg))), "toxic-tried")
-    least, n = 2 * math.log(max(1, by.count())), pos + neg
-    a, df = F.col("a"), F.col("df")
-    part = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
-    share = pos / n if n else 0.0
-    ratio = 2 * (
-        part(a, df * share) + part(df - a, df * (1 - share))
-        + part(pos - a, (n - df) * share) + part(neg - df + a, (n - df) * (1 - share))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select(
+        "doc_id", "label", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.slice(words, 1, 8)).alias("head"), F.xxhash64(F.slice(F.reverse(words), 1, 8)).alias("tail"),
     )
-    kept = by.withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    telling = {r["term"] for r in kept.orderBy(F.desc("ratio"), "term").limit(terms).select("term").collect()}
-    found = every.mapInArrow(_examples, "doc_id long, label int, terms array<string>, n array<long>").toArrow()  # at most EXAMPLES rows, and those with their ids
-    all_of = [(i, y, dict(zip(map(sys.intern, ts), ns, strict=True))) for b in found.to_batches(256) for i, y, ts, ns in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    all_of.sort(key=lambda x: (x[0], x[1], sorted(x[2].items())))
-    rows = Counter(t for _, _, c in all_of for t in c)
-    idf = {t: (math.log((1 + len(all_of)) / (1 + df)) + 1) * (TELLING if t in telling else 1.0) for t, df in rows.items()}
-    return Index(all_of, idf, sum(y for _, y, _ in all_of) / len(all_of) if all_of else 0.0)
+    # at most EXAMPLES rows, and those with their ids
+    found = every.mapInArrow(_examples, "doc_id long, label int, hash long, head long, tail long, terms array<string>, n array<long>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("hash", "ascending")]).combine_chunks()
+    ids, y, head, tail = (found[c].to_numpy().astype(np.int64) for c in ("doc_id", "label", "head", "tail"))
+    if not len(ids):
+        return Index([], {}, 0.0)
+    lists = [found[c].combine_chunks() for c in ("terms", "n")]
+    row = np.repeat(np.arange(len(ids)), lists[0].value_lengths().to_numpy())
+    coded = lists[0].flatten().dictionary_encode()
+    times, names = lists[1].flatten().to_numpy(), coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    term = rank[coded.indices.to_numpy()]
+    # copies of one text are no independent evidence of which terms tell: rows that begin or end with the same words count once there
+    alone = np.zeros(len(ids), bool)
+    alone[_firsts(tail, y, np.sort(_firsts(head, y, np.arange(len(ids)))))] = True
+    idf = np.log((1 + len(ids)) / (1 + np.bincount(term, minlength=len(names)))) + 1
+    idf[_telling(term, row, len(names), y, alone, terms)] *= TELLING
+    return Index.of([names[j] for j in order], idf, ids, y, row, term, times, float(y.mean()))
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score and evidence (neighbours with label and similarity) of each row."""
     held = docs.sparkSession.sparkContext.broadcast(index)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+    kind = pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels = np.array(held.value.ids, np.int64), np.array(held.value.labels, np.int32)
         for batch in batches:
-            found = [held.value.score(t) for t in batch["text"].to_pylist()]
-            evidence = [[{"doc_id": i, "label": y, "similarity": s} for i, y, s in near] for _, near in found]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([f[0] for f in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            found = list(held.value.score_many(batch["text"].to_pylist()))
+            places, near = (np.concatenate([x[j] for x in found]) if found else np.empty(0, int) for j in (1, 2))
+            ends = pa.array(np.cumsum([0, *(len(x[1]) for x in found)]), pa.int32())
+            near = pa.StructArray.from_arrays([pa.array(ids[places]), pa.array(labels[places]), pa.array(near, pa.float64())], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in found], pa.float64()), pa.ListArray.from_arrays(ends, near)], names=["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, score double, evidence array<struct<doc_id:long,label:int,similarity:double>>"
     )
 
 
+def reject(docs: DataFrame, index: Index, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under least, with all columns. Rows stay where they are: nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([x[0] < least for x in held.value.score_many(batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnt(spark: SparkSession, sf_dir: str) -> Index:
     """The index from the training fold of the documents' labels."""
     train = lambda name: table(spark, sf_dir, name).filter(fold_of(F.col("doc_id"), 5) != 0)
