@@ -14,41 +14,41 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples call toxic go."""
-    prepare(spark)
-    keyed = docs.select("*", _key(docs))
-    marks = toxicity.score(docs.select(_key(docs).alias("doc_id"), "text"), toxicity.learnt(spark, sf_dir))
-    bad = marks.filter("score >= 0.5").select("doc_id").distinct().withColumnRenamed("doc_id", "_bad")
-    return keyed.join(bad, keyed["_key"] == bad["_bad"], "left_anti").select(*docs.columns)
-
+    """Documents that the nearest labelled examples call toxic go; the others stay as they are.
 
-def _key(docs: DataFrame):
-    """A number for a row's text: the score depends on nothing else."""
-    from pyspark.sql import functions as F
-
-    return F.xxhash64("text").alias("_key")
+    Null and empty texts, and texts without a known term, get the sample's share of toxic rows, and stay where that is under a half. Repeated rows and equal ids are scored each by
+    its own text. An empty table stays empty. Other columns are carried, whatever their names."""
+    prepare(spark)
+    return toxicity.reject(docs, toxicity.learnt(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the first stays."""
+    """Of texts that are equal up to white space, the row with the smallest id stays: a null id comes last, and the row written first wins a tie.
+
+    A null text counts as empty, and empty texts equal each other. Equal ids with different texts both stay. An empty table stays empty. Other columns are carried, whatever their names."""
     prepare(spark)
     return exact_dedup.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the first stays."""
+    """Of each group of near duplicates the row with the smallest id stays: a null id comes last, and the row written first wins a tie.
+
+    Texts that are null or have no words are in no group and stay. Equal ids with texts that aren't near both stay. An empty table stays empty. Other columns are carried, whatever their names."""
     prepare(spark)
     return near_dedup.first_of_groups(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate towards the target weights says."""
+    """Each document as often as its rate towards the target weights says, rounded by a hash of its id and text.
+
+    Null and empty texts have no tokens and the domains' shares as their posterior. Repeated rows have equal copies. Without labels each row stays once. An empty table stays empty. Other
+    columns are carried, whatever their names."""
     prepare(spark)
     return mixing.mix(docs, table(spark, sf_dir, "labels"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences."""
+    """The pieces of sequences; repeated rows and equal ids are documents of their own, and null texts have the closing id alone. Of an empty table there are none."""
     prepare(spark)
     return packing.pack(docs)
 
