@@ -6,8 +6,8 @@ reach by chance, given how many were tried), at most TERMS, weigh TELLING times
 
 The vectors stand in an inverted index cut into blocks of BLOCK examples, with the greatest weight of each term in each block. The terms with the longest
 postings, as many as DENSE cells hold, stand in full instead, so that a batch of texts meets them in one matrix product. For a text, a block's bound is the greatest
-of its examples' sums over these terms, plus the sum of the block's greatest weights of the others. Blocks are scored exactly in order of their bounds, until no bound can beat
-the k-th best. The neighbours vote with their similarity; PRIOR votes of the sample's share
+of its examples' sums over these terms, plus the sum of the block's greatest weights of the others. As weights are positive, the k-th greatest of the examples' sums is a similarity that
+k examples reach: blocks whose bounds are under it are ruled out, and the others scored exactly. The neighbours vote with their similarity; PRIOR votes of the sample's share
 of toxic rows keep the score calibrated where few or no neighbours are near. The neighbours are the evidence. Similarities are rounded to nine places, so that equal examples tie.
 
 Defined cases: a null text counts as empty; a text without known terms gets the sample's share; of several labels of one row the greatest counts; null
@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of what is learnt: examples, whose terms are all broadcast, and terms that weigh more.
 EXAMPLES, TERMS = 8192, 20_000
 NEIGHBOURS, BLOCK = 15, 64
-#: Blocks that are scored before the k-th best rules others out.
-FIRST_BLOCKS = 8
 #: Cells (terms x examples) of the terms that stand in full, texts that meet them at once, and words whose terms a worker keeps.
-DENSE, BATCH, STORE = 1 << 22, 64, 300_000
+DENSE, BATCH, STORE = 1 << 22, 256, 300_000
 #: A term that tells labels apart has LEAST rows and SHARE of the rarer label's rows at least, and a likelihood ratio of 2 ln(terms tried) at least.
 LEAST, SHARE, TELLING = 3, 0.02, 8.0
 PREFIX = 5
@@ -92,15 +91,26 @@ class Index:
         norms = np.sqrt(np.bincount(row, weight * weight, len(ids)))
         # alike examples side by side make tight bounds: by their heaviest term
         heavy = np.full(len(ids), len(names))
-        order = np.lexsort((-term, weight, row))
-        heavy[row[order]] = term[order]
+        if len(row):
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            most = np.repeat(np.maximum.reduceat(weight, starts), np.diff(np.r_[starts, len(row)]))
+            heavy[row[starts]] = np.minimum.reduceat(np.where(weight == most, term, len(names)), starts)
+            del most
+        del weight
         order = np.lexsort((ids, heavy))
         order = order[norms[order] > 0]
         place = np.zeros(len(ids), np.int64)
         place[order] = np.arange(len(order))
-        by = np.lexsort((place[row], term))
-        self._enter((names, idf, share, sizes, ids[order], labels[order], norms[order], np.bincount(term, minlength=len(names)).astype(np.uint32),
-                           place[row[by]].astype(np.uint32), times[by].astype(np.uint32)))
+        by = np.argsort(term * len(ids) + place[row], kind="stable")
+        self.held = (names, idf, share, sizes, ids[order], labels[order], norms[order], np.bincount(term, minlength=len(names)).astype(np.uint32),
+                     place[row[by]].astype(np.uint32), times[by].astype(np.uint32))
+
+    def __getattr__(self, name: str):
+        """What is made of the postings is made where it is first asked for: the driver only sends them."""
+        if name.startswith("__") or self.__dict__.get("held") is None:
+            raise AttributeError(name)
+        self._enter(self.held)
+        return self.__dict__[name]
 
     def __getstate__(self) -> bytes:
         """What is broadcast: the postings alone, as each executor writes it to disk."""
@@ -115,7 +125,7 @@ class Index:
         self.names, self.idf, self.share, (self.k, self.block, dense), ids, labels, norms, counts, at, times = held
         self.terms = {t: j for j, t in enumerate(self.names)}
         self.ids, self.labels, n = ids.tolist(), labels.tolist(), len(ids)
-        self.id_of, self.blocks, self.words, self.known = ids, -(-n // self.block), {}, np.empty((0, 3), np.int32)
+        self.id_of, self.blocks, self.words, self.known = ids, -(-n // self.block), {}, np.empty((0, 3), np.int64)
         term = np.repeat(np.arange(len(self.names), dtype=np.int32), counts)
         weight = (1 + np.log(np.maximum(times, 1))) * self.idf[term] / norms[at] if n else np.empty(0)
         # the terms with the longest postings, by number on a tie
@@ -138,39 +148,43 @@ class Index:
         get, start = self.terms.get, word[:PREFIX] + "*"
         return (get(word, -1), get(start, -1), get(start + "2", -1)) if len(word) > PREFIX else (get(word, -1), -1, -1)
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of a text's known terms, and how often each comes: what terms_of() finds."""
-        counts = Counter(WORD.findall((text or "").lower()))
-        if not counts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        found = list(map(self.words.get, counts))
+    def units(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of each text's known terms, those that terms_of() finds, and their weights in a vector of unit length."""
+        words = [WORD.findall((t or "").lower()) for t in texts]
+        every = list(chain.from_iterable(words))
+        found = list(map(self.words.get, every))
         if None in found:
-            new = [w for w, i in zip(counts, found, strict=True) if i is None]
+            new = list(dict.fromkeys(w for w, i in zip(every, found, strict=True) if i is None))
             if len(self.words) + len(new) > STORE:
-                self.words, new = {}, list(counts)
+                self.words, new = {}, list(dict.fromkeys(every))
             used = len(self.words)
             if used + len(new) > len(self.known):
-                self.known = np.concatenate([self.known[:used], np.empty((max(len(new), used + 1024), 3), np.int32)])
+                self.known = np.concatenate([self.known[:used], np.empty((max(len(new), used + 1024), 3), np.int64)])
             self.known[used : used + len(new)] = [self._word(w) for w in new]
             self.words.update(zip(new, range(used, used + len(new)), strict=True))
-            found = list(map(self.words.get, counts))
-        term, n = self.known[found].astype(np.int64), np.fromiter(counts.values(), np.int64, len(counts))
-        word, start = term[:, 0] >= 0, term[:, 1] >= 0
-        starts, first, inverse = np.unique(term[start, 1], return_index=True, return_inverse=True)
-        times = np.bincount(inverse, n[start], len(starts)).astype(np.int64)
-        again = term[start, 2][first]
-        more = (times > 1) & (again >= 0)
-        return np.concatenate([term[word, 0], starts, again[more]]), np.concatenate([n[word], times, times[more]])
-
-    def _unit(self, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(term)
-        w = (1 + np.log(times[order])) * self.idf[term[order]]
-        return term[order], w / (np.sqrt(w @ w) or 1.0)
+            found = list(map(self.words.get, every))
+        size, text = len(self.terms) + 1, np.repeat(np.arange(len(texts)), list(map(len, words)))
+        known = self.known[np.array(found, np.intp)]
+        word, start = known[:, 0] >= 0, known[:, 1] >= 0
+        keys, times = np.unique(text[word] * size + known[word, 0], return_counts=True)
+        starts, first, often = np.unique(text[start] * size + known[start, 1], return_index=True, return_counts=True)
+        again = known[start, 2][first]
+        more = (often > 1) & (again >= 0)
+        keys, times = np.concatenate([keys, starts, text[start][first][more] * size + again[more]]), np.concatenate([times, often, often[more]])
+        order = np.argsort(keys)
+        text, term = np.divmod(keys[order], size)
+        w = (1 + np.log(times[order])) * self.idf[term]
+        norms = np.sqrt(np.bincount(text, w * w, len(texts)))
+        w, cuts = w / norms[text], np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        return [(term[a:b], w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _unit(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        term = np.array(sorted(self.terms[t] for t in counts if t in self.terms), np.int64)
+        w = (1 + np.log(np.array([counts[self.names[t]] for t in term], float))) * self.idf[term]
+        return term, w / (np.sqrt(w @ w) or 1.0)
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        known = {t: n for t, n in counts.items() if t in self.terms}
-        term, w = self._unit(np.array([self.terms[t] for t in known], np.int64), np.array(list(known.values()), np.int64))
-        return {self.names[t]: float(x) for t, x in zip(term, w, strict=True)}
+        return {self.names[t]: float(x) for t, x in zip(*self._unit(counts), strict=True)}
 
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For unit vectors as terms and weights, the places and similarities of the k most similar examples with positive similarity."""
@@ -184,49 +198,37 @@ class Index:
             row[own[own >= 0]] = w[own >= 0]
         sums = q @ self.full
         tops = np.maximum.reduceat(sums, np.arange(0, len(self.ids), self.block), axis=1)
-        for (term, w), sure, top in zip(queries, sums, tops, strict=True):
+        for (term, w), own, top in zip(queries, sums, tops, strict=True):
             rest = self.full_of[term] < 0
             term, w = term[rest], w[rest]
             entries, lengths = _spans(self.first[term], self.first[term + 1])
             weights, blocks = np.repeat(w, lengths), self.block_of[entries]
             bound = top + np.bincount(blocks, weights * self.most[entries], self.blocks)
-            order, done, take = np.argsort(-bound, kind="stable"), 0, FIRST_BLOCKS
-            places, best = none
-            while done < self.blocks:
-                some = order[done : done + take]
-                some = some[(bound[some] > 0) & (len(best) < self.k or bound[some] + 1e-9 >= best[-1])]
-                if not len(some):
-                    break
-                now = np.zeros(self.blocks, bool)
-                now[some] = True
-                if 4 * len(some) < self.blocks:
-                    here = now[blocks]
-                    posts, lengths = _spans(self.start[entries[here]], self.start[entries[here] + 1])
-                    own = np.bincount(self.at[posts], np.repeat(weights[here], lengths) * self.weight[posts], len(self.ids))
-                else:  # most blocks: whole postings are read faster than their parts
-                    posts, lengths = _spans(self.start[self.first[term]], self.start[self.first[term + 1]])
-                    own = np.bincount(self.at[posts], np.repeat(w, lengths) * self.weight[posts], len(self.ids))
-                own = np.round(np.where(np.repeat(now, self.block)[: len(own)], own + sure, 0.0), 9)
-                hits = np.flatnonzero(own > 0)
-                if len(hits) > self.k:
-                    hits = hits[own[hits] >= np.partition(own[hits], -self.k)[-self.k]]
-                places, best = np.r_[places, hits], np.r_[best, own[hits]]
-                keep = np.lexsort((places, self.id_of[places], -best))[: self.k]
-                places, best = places[keep], best[keep]
-                done, take = done + take, self.blocks
-            yield places, best
+            reached = np.partition(own, -self.k)[-self.k] if len(own) >= self.k else 0.0
+            now = (bound > 0) & (bound + 1e-9 >= reached)
+            if 4 * now.sum() < self.blocks:
+                here = now[blocks]
+                posts, lengths = _spans(self.start[entries[here]], self.start[entries[here] + 1])
+                weights = np.repeat(weights[here], lengths)
+            else:  # whole postings are read faster than many of their parts
+                posts, lengths = _spans(self.start[self.first[term]], self.start[self.first[term + 1]])
+                weights = np.repeat(w, lengths)
+            own += np.bincount(self.at[posts], weights * self.weight[posts], len(own))
+            hits = np.flatnonzero(np.repeat(now, self.block)[: len(own)] & (own >= reached - 1e-9) & (own > 0))
+            near = np.round(own[hits], 9)
+            keep = np.lexsort((hits, self.id_of[hits], -near))[: self.k]
+            keep = keep[near[keep] > 0]
+            yield hits[keep], near[keep]
 
     def nearest(self, counts: dict[str, int]) -> list[tuple[float, int]]:
         """The k most similar examples with positive similarity, as (similarity, place)."""
-        known = {t: n for t, n in counts.items() if t in self.terms}
-        unit = self._unit(np.array([self.terms[t] for t in known], np.int64), np.array(list(known.values()), np.int64))
-        places, best = next(iter(self.nearest_many([unit])))
+        places, best = next(iter(self.nearest_many([self._unit(counts)])))
         return list(zip(best.tolist(), places.tolist(), strict=True))
 
     def score_many(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """The score of each text, and its neighbours' places and similarities."""
         for a in range(0, len(texts), BATCH):
-            for places, best in self.nearest_many([self._unit(*self.counted(t)) for t in texts[a : a + BATCH]]):
+            for places, best in self.nearest_many(self.units(texts[a : a + BATCH])):
                 votes = sum(s * self.labels[at] for s, at in zip(best.tolist(), places.tolist(), strict=True))
                 yield (self.share * PRIOR + votes) / (PRIOR + sum(best.tolist())), places, best
 
@@ -238,7 +240,7 @@ class Index:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = [terms_of(t) for t in batch["text"].to_pylist()]
-        terms, ns = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+        terms, ns = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
         cols = [batch[c] for c in ("doc_id", "label", "hash", "head", "tail")]
         yield pa.RecordBatch.from_arrays([*cols, terms, ns], names=["doc_id", "label", "hash", "head", "tail", "terms", "n"])
 
@@ -278,19 +280,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
         "doc_id", "label", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.slice(words, 1, 8)).alias("head"), F.xxhash64(F.slice(F.reverse(words), 1, 8)).alias("tail"),
     )
     # at most EXAMPLES rows, and those with their ids
-    found = every.mapInArrow(_examples, "doc_id long, label int, hash long, head long, tail long, terms array<string>, n array<long>").toArrow()
+    found = every.mapInArrow(_examples, "doc_id long, label int, hash long, head long, tail long, terms array<string>, n array<int>").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("hash", "ascending")]).combine_chunks()
     ids, y, head, tail = (found[c].to_numpy().astype(np.int64) for c in ("doc_id", "label", "head", "tail"))
     if not len(ids):
         return Index([], {}, 0.0)
     lists = [found[c].combine_chunks() for c in ("terms", "n")]
+    del found
     row = np.repeat(np.arange(len(ids)), lists[0].value_lengths().to_numpy())
-    coded = lists[0].flatten().dictionary_encode()
-    times, names = lists[1].flatten().to_numpy(), coded.dictionary.to_pylist()
+    coded, times = lists[0].flatten().dictionary_encode(), lists[1].flatten().to_numpy()
+    del lists
+    names = coded.dictionary.to_pylist()
     order = sorted(range(len(names)), key=names.__getitem__)
     rank = np.empty(len(names), np.int64)
     rank[order] = np.arange(len(names))
     term = rank[coded.indices.to_numpy()]
+    del coded
     # copies of one text are no independent evidence of which terms tell: rows that begin or end with the same words count once there
     alone = np.zeros(len(ids), bool)
     alone[_firsts(tail, y, np.sort(_firsts(head, y, np.arange(len(ids)))))] = True
