@@ -12,8 +12,9 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.functions.strings import split_text as split_text_parts
+
 Row = dict
-PUNCTUATION = ".,!?;:。，！？；：、"
 
 
 def fold(rows: DataFrame, step: Callable[[list[Row]], list[Row]], schema: str, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
@@ -64,13 +65,13 @@ def greedy_select(rows: list[Row], most: int = 6) -> list[Row]:
     return sorted(chosen, key=lambda r: (r["start"], r["seq"]))
 
 
-def change_points(rows: list[Row], least: float = 0.015, most: float = 0.7, apart: float = 0.4) -> list[Row]:
-    """Times whose difference is in bounds and that are apart from the last accepted."""
-    out: list[Row] = []
+def change_points(rows: list[Row], duration: float, least: float = 0.015, most: float = 0.7, apart: float = 0.4) -> list[Row]:
+    """The start, times whose difference is in bounds and that are apart from the last accepted, and the duration; each once, in order."""
+    times = [0.0]
     for r in sorted(rows, key=lambda r: r["time"]):
-        if least < r["diff"] < most and (not out or r["time"] - out[-1]["time"] >= apart):
-            out.append({"video_id": r["video_id"], "time": r["time"]})
-    return out
+        if least < r["diff"] < most and r["time"] - times[-1] >= apart:
+            times.append(round(r["time"], 3))
+    return [{"video_id": rows[0]["video_id"] if rows else 0, "time": t} for t in sorted({*times, round(duration, 3)})]
 
 
 def chunk_pack(rows: list[Row], budget: int, cap: int) -> list[Row]:
@@ -179,54 +180,22 @@ def find_peaks(rows: list[Row], height: float, apart: float, most: int) -> list[
     return sorted(sorted(kept, key=lambda p: (-p["value"], p["time"]))[:most], key=lambda p: p["time"])
 
 
-def split_text(row: Row, most: int) -> list[Row]:
-    """Cut a subtitle into parts of at most so many characters, with times in proportion to their lengths."""
-    text, start, end = row["text"], row["start"], row["end"]
+def split_text(row: Row, most: int, lang: str = "en") -> list[Row]:
+    """Cut a subtitle into parts of at most so many characters, with times in proportion to their lengths, 0.05 s at least; the last ends where the subtitle does."""
+    start, end = row["start"], row["end"]
+    text = (row["text"] or "").strip()
     if end <= start:
         return [row | {"end": round(start + 0.05, 3)}]
-    if len(text) <= most:
+    parts = split_text_parts(text, most, lang) if len(text) > most else []
+    if not parts:
         return [row]
-    spaced = " " in text.strip()
-    units, parts, chunk = (text.split(" ") if spaced else list(text)), [], []
-    glue = " " if spaced else ""
-    for u in units:
-        if chunk and len(glue.join([*chunk, u])) > most:
-            back = next((k for k in range(len(chunk) - 1, -1, -1) if chunk[k][-1:] in PUNCTUATION and chunk[k]), None)
-            cut = len(chunk) if back is None else back + 1
-            parts.append(glue.join(chunk[:cut]))
-            chunk = chunk[cut:]
-        chunk.append(u)
-    parts.append(glue.join(chunk))
-    total, spans = sum(map(len, parts)) or 1, []
+    total = sum(map(len, parts))
     spans = [max(0.05, (end - start) * len(p) / total) for p in parts]
-    if sum(spans) > end - start:
-        spans = [s * (end - start) / sum(spans) for s in spans]
+    shrink = min(1.0, (end - start) / sum(spans))
     out, at = [], start
-    for i, (p, s) in enumerate(zip(parts, spans, strict=True)):
-        stop = end if i == len(parts) - 1 else at + s
-        out.append(row | {"text": p, "start": round(at, 3), "end": round(stop, 3)})
+    for i, (part, span) in enumerate(zip(parts, spans, strict=True)):
+        stop = end if i == len(parts) - 1 else at + span * shrink
+        stop = stop if stop > at else at + 0.05
+        out.append(row | {"text": part, "start": round(at, 3), "end": round(stop, 3)})
         at = stop
     return out
-
-
-def normalize_topics(rows: list[Row], least: float) -> list[Row]:
-    """Topics without overlap; short ones are taken in by the one before, a short first one by the second."""
-
-    def join(a: Row, b: Row, start: float, end: float) -> Row:
-        title = a["topic"] if b["topic"] in a["topic"] else f"{a['topic']} / {b['topic']}"
-        return a | {"start": start, "end": end, "topic": title, "score": max(a["score"], b["score"])}
-
-    out: list[Row] = []
-    for r in sorted(rows, key=lambda r: (r["start"], r["end"])):
-        r = r | {"start": max(r["start"], out[-1]["end"])} if out else dict(r)
-        if r["end"] <= r["start"]:
-            continue
-        if out and r["end"] - r["start"] < least:
-            out[-1] = join(out[-1], r, out[-1]["start"], max(out[-1]["end"], r["end"]))
-        else:
-            out.append(r)
-    if len(out) >= 2 and out[0]["end"] - out[0]["start"] < least:
-        out[:2] = [join(out[0], out[1], out[0]["start"], out[1]["end"])]
-    if len(out) >= 2 and out[-1]["end"] - out[-1]["start"] < least:
-        out[-2:] = [join(out[-2], out[-1], out[-2]["start"], out[-1]["end"])]
-    return out

@@ -34,22 +34,6 @@ def prefix_by_chars(rows: DataFrame, keys: list[str], order: list, text: Column,
     return rows.withColumn("used", used).withColumn("_n", F.row_number().over(w)).filter((F.col("used") <= most) | (F.col("_n") == 1)).drop("_n")
 
 
-def overlap_clusters(rows: DataFrame, gap: float = 18.0) -> DataFrame:
-    """Runs of segments, each of which overlaps the one before with the same topic, or follows it within gap with the same topic."""
-    order = ["start", "end", F.desc("score"), "seq"]
-    w = Window.partitionBy("video_id").orderBy(*order)
-    joined = (F.col("topic") == F.lag("topic").over(w)) & (F.col("start") - F.lag("end").over(w) <= gap)
-    return islands(rows, ["video_id"], order, ~F.coalesce(joined, F.lit(False)), "cluster")
-
-
-def collapse(clusters: DataFrame) -> DataFrame:
-    """One row for each cluster: its span, its best topic and score, and how many it has."""
-    best = F.struct("score", (F.col("end") - F.col("start")).alias("d"), (-F.col("seq")).alias("s"))
-    return clusters.groupBy("video_id", "cluster").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.max_by("topic", best).alias("topic"), F.count("*").alias("members")
-    )
-
-
 def zscores(rows: DataFrame, value: str) -> DataFrame:
     """(value - mean) / (population deviation + 1e-8) within a video."""
     w = Window.partitionBy("video_id")

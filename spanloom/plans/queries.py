@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import scoring, text
-from spanloom.operators import folds, islands, joins
+from spanloom.operators import detect, folds, islands, joins
+from spanloom.operators import topics as topic_ops
+from spanloom.plans.registry import QUERIES, Query, query
 from spanloom.sources import srt
-from spanloom.sources.relations import asr_segments, candidates, points, table
+from spanloom.sources.relations import asr_segments, candidates, frames, points, table, topics
 
-Query = Callable[[SparkSession, str], DataFrame]
-_FOUND: dict[str, Query] = {}
 DURATION, OVERLAP = 60.0, 10.0
 
 
-def query(f: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _ready(spark)
-        return f(spark, sf_dir.rstrip("/"))
-
-    _FOUND[f.__name__] = run
-    return f
-
-
-def _ready(spark: SparkSession) -> None:
-    """Let Python workers import this package."""
-    import os
-    from pathlib import Path
-
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    had = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if root not in had:
-        env["PYTHONPATH"] = os.pathsep.join([root, *had])
-
-
 def queries() -> dict[str, Query]:
-    return dict(_FOUND)
+    return dict(QUERIES)
 
 
 def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,28 +36,29 @@ def chunk_windows(spark, sf_dir):
 
 @query
 def asr_subset(spark, sf_dir):
-    """JN01."""
-    return joins.clip_subset(_segments(spark, sf_dir), _clips(spark, sf_dir))
+    """JN01; cells as long as a window keep a long video's pairs few."""
+    return joins.clip_subset(_segments(spark, sf_dir), _clips(spark, sf_dir), DURATION)
 
 
 @query
 def window_transcript(spark, sf_dir):
     """JN02, AGG13."""
-    both = joins.interval_join(_segments(spark, sf_dir), _clips(spark, sf_dir), joins.overlaps_half_open)
+    both = joins.interval_join(_segments(spark, sf_dir), _clips(spark, sf_dir), joins.overlaps_half_open, DURATION)
     lines = F.array_sort(F.collect_list(F.struct("seq", "text")))
     return both.groupBy("video_id", "clip").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("transcript"))
 
 
 @query
 def word_alignment(spark, sf_dir):
-    """JN03: words by their midpoint in half-open windows; cells as long as a window make it an equi-join."""
-    split = _segments(spark, sf_dir).select("video_id", "start", "end", F.split("text", " ").alias("ws"), F.size(F.split("text", " ")).alias("n"))
-    words = split.select("video_id", "start", "end", "n", F.posexplode("ws").alias("pos", "word"))  # counted before: not again for each word
+    """JN03: words by their midpoint in half-open windows, as the window's text; cells as long as a window make it an equi-join."""
+    split = _segments(spark, sf_dir).select("video_id", "seq", "start", "end", F.split("text", " ").alias("ws"), F.size(F.split("text", " ")).alias("n"))
+    words = split.select("video_id", "seq", "start", "end", "n", F.posexplode("ws").alias("pos", "word"))  # counted before: not again for each word
     mid = F.col("start") + (F.col("end") - F.col("start")) * (F.col("pos") + 0.5) / F.col("n")
     cell = lambda t: F.floor(t / DURATION)
     clips = _clips(spark, sf_dir).withColumn("cell", F.explode(F.sequence(cell(F.col("clip_start")), cell(F.col("clip_end")))))
     w = words.withColumn("mid", mid).withColumn("cell", cell(F.col("mid"))).join(clips, ["video_id", "cell"]).filter("mid >= clip_start AND mid < clip_end")
-    return w.groupBy("video_id", "clip").agg(F.count("*").alias("words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+    held = F.array_sort(F.collect_list(F.struct("mid", "seq", "pos", "word")))
+    return w.groupBy("video_id", "clip").agg(F.count("*").alias("words"), text.join_cleanup(F.array_join(F.transform(held, lambda x: x["word"]), " ")).alias("text"))
 
 
 @query
@@ -90,11 +69,11 @@ def nearest_scene(spark, sf_dir):
 
 @query
 def topic_summary_lookup(spark, sf_dir):
-    """JN06: the last summary of a trimmed key, empty ones counting as missing."""
+    """JN06: the last summary of a trimmed key, empty ones counting as missing. Spark broadcasts the summaries where they are small."""
     c = candidates(spark, sf_dir)
     summary = c.select(F.trim("topic").alias("topic"), "seq", F.when(F.col("seq") % 7 == 0, "").otherwise(F.concat("topic", F.lit("-"), F.col("seq") % 10)).alias("summary"))
     last = joins.last_wins(summary, ["topic"], F.col("seq"), "summary")
-    return c.join(F.broadcast(last), "topic", "left").select("video_id", "seq", F.coalesce(F.nullif(F.col("summary"), F.lit("")), "topic").alias("summary"))
+    return c.join(last, "topic", "left").select("video_id", "seq", F.coalesce(F.nullif(F.col("summary"), F.lit("")), "topic").alias("summary"))
 
 
 @query
@@ -133,17 +112,15 @@ def score_coerce(spark, sf_dir):
 @query
 def speech_coverage(spark, sf_dir):
     """AGG10."""
-    s = joins.clip_subset(_segments(spark, sf_dir), _clips(spark, sf_dir)).groupBy("video_id", "clip").agg(F.sum(F.col("end") - F.col("start")).alias("speech"))
     d = F.col("clip_end") - F.col("clip_start")
-    return _clips(spark, sf_dir).join(s, ["video_id", "clip"], "left").select("video_id", "clip", F.round(F.least(F.lit(1.0), F.coalesce("speech", F.lit(0.0)) / d), 4).alias("coverage"))
+    return joins.with_speech(_segments(spark, sf_dir), _clips(spark, sf_dir), DURATION).select("video_id", "clip", F.round(F.least(F.lit(1.0), F.coalesce("speech", F.lit(0.0)) / d), 4).alias("coverage"))
 
 
 @query
 def clip_fit(spark, sf_dir):
     """PRJ24 over JN01."""
-    s = joins.clip_subset(_segments(spark, sf_dir), _clips(spark, sf_dir)).groupBy("video_id", "clip").agg(F.sum(F.col("end") - F.col("start")).alias("speech"))
     d = F.col("clip_end") - F.col("clip_start")
-    return _clips(spark, sf_dir).join(s, ["video_id", "clip"], "left").select("video_id", "clip", F.round(scoring.clip_fit(d, F.coalesce("speech", F.lit(0.0)), 45.0), 1).alias("fit"))
+    return joins.with_speech(_segments(spark, sf_dir), _clips(spark, sf_dir), DURATION).select("video_id", "clip", F.round(scoring.clip_fit(d, F.coalesce("speech", F.lit(0.0)), 45.0), 1).alias("fit"))
 
 
 @query
@@ -169,23 +146,25 @@ def token_union(spark, sf_dir):
 
 @query
 def language_status(spark, sf_dir):
-    """PRJ12, with a CJK suffix for every third document."""
-    t = F.concat(F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("中"), (F.col("doc_id") % 40).cast("int"))).otherwise(""))
+    """PRJ12 over whole texts, with a CJK tail for every third document, up to as long as the text."""
+    tail = F.repeat(F.lit("中"), (F.length("text") * (F.col("doc_id") % 40) / 40).cast("int"))
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, tail).otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", text.language_status(t).alias("status"))
 
 
 @query
 def meta_output(spark, sf_dir):
-    """PRJ17."""
-    t = F.concat(F.when(F.col("turn") % 4 == 0, F.lit("Sure, ")).otherwise(""), "text")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(text.meta_output(t)).alias("meta"))
+    """PRJ17, with remarks put before some turns."""
+    t = F.concat(F.expr("CASE turn % 6 WHEN 0 THEN 'Translator NOTE ' WHEN 1 THEN '此处应为空行' WHEN 2 THEN '原文第12行 ' WHEN 3 THEN 'Note: ' ELSE '' END"), "text")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(text.meta_output(t)).alias("meta"), F.coalesce(F.bool_or(text.meta_output(t)), F.lit(False)).alias("any_meta"))
 
 
 @query
 def lang_drift(spark, sf_dir):
-    """PRJ15, PRJ16."""
-    wrong = F.when(text.looks_english(F.col("text")), 1.0).otherwise(0.0)
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.avg(wrong) > text.DRIFT_SHARE).alias("drift"))
+    """PRJ15, PRJ16 for both targets; blank texts don't count."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.expr("CASE WHEN turn % 4 = 1 THEN '  ' WHEN conv_id % 9 = turn THEN concat(text, '中') ELSE text END"))
+    zh, en = text.drift(text.looks_english(F.col("text")), F.col("text")), text.drift(F.col("text").rlike(text.CJK), F.col("text"))
+    return c.groupBy("conv_id").agg(zh.alias("drift_zh"), en.alias("drift_en"))
 
 
 @query
@@ -224,13 +203,15 @@ def srt_scan(spark, sf_dir):
 @query
 def chunk_clusters(spark, sf_dir):
     """ISL02."""
-    return islands.overlap_clusters(candidates(spark, sf_dir), 7200.0).select("video_id", "seq", "cluster")
+    return topic_ops.chunk_clusters(topics(spark, sf_dir)).select("video_id", "seq", "cluster")
 
 
 @query
 def cluster_collapse(spark, sf_dir):
-    """AGG01, TOP05."""
-    return islands.collapse(islands.overlap_clusters(candidates(spark, sf_dir), 7200.0))
+    """AGG01, PRJ22, PRJ25, PRJ47, TOP05: each run of chunk_clusters as one topic."""
+    c = topic_ops.chunk_clusters(topics(spark, sf_dir))
+    out = folds.fold(c, lambda rows: topic_ops.merge_clusters(rows, "opinion"), "cluster long, " + topic_ops.SCHEMA)
+    return out.withColumn("key_sentences", F.array_join("key_sentences", "|"))
 
 
 @query
@@ -262,12 +243,8 @@ def frame_vote(spark, sf_dir):
 
 @query
 def stream_score(spark, sf_dir):
-    """AGG16: points for change, length, wordiness and number of frames of a region."""
-    w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").withColumn("changed", (F.col("text") != F.lag("text").over(w)).cast("int"))
-    a = t.groupBy("conv_id", "role").agg(F.avg("changed").alias("c"), F.avg(F.length("text")).alias("l"), F.avg(F.col("text").contains(" ").cast("int")).alias("w"), F.count("*").alias("n"))
-    pts = lambda cond, p: F.when(cond, p).otherwise(0)
-    return a.select("conv_id", "role", (pts(F.col("c") >= 0.4, 3) + pts(F.col("l") >= 15, 2) + pts(F.col("w") >= 0.5, 1) + pts(F.col("n") >= 3, 1)).cast("long").alias("points"))
+    """AGG07, AGG16, FLT06, FLT07, PRJ28: a region's points for change, length, place, wordiness and frames, less those for words of user interfaces. (SQL, which has no sequence ratio, counts any change.)"""
+    return detect.stream_scores(frames(spark, sf_dir)).select("video_id", "region", "score", "frames", "heavy")
 
 
 @query
@@ -310,9 +287,11 @@ def remove_overlaps(spark, sf_dir):
 
 @query
 def change_points(spark, sf_dir):
-    """FLD13."""
-    c = candidates(spark, sf_dir).select("video_id", F.col("start").alias("time"), (F.col("seq") % 100 / 100.0).alias("diff"))
-    return folds.fold(c, lambda rows: folds.change_points(rows, apart=21600.0), "video_id long, time double")
+    """FLD13; a video lasts as long as its last point."""
+    c = candidates(spark, sf_dir)
+    first = c.groupBy("video_id").agg(F.min("start").alias("zero"))
+    c = c.join(first, "video_id").select("video_id", F.round((F.col("start") - F.col("zero")) / 3600.0, 3).alias("time"), (F.col("seq") % 100 / 100.0).alias("diff"))
+    return folds.fold(c, lambda rows: folds.change_points(rows, max(r["time"] for r in rows), apart=6.0), "video_id long, time double")
 
 
 @query
@@ -336,7 +315,7 @@ def asr_dedupe(spark, sf_dir):
 
 @query
 def split_text(spark, sf_dir):
-    """FLD14; unit-tested."""
+    """FLD14; tested on given cases, and by its parts' joint text and times."""
     return folds.fold(_segments(spark, sf_dir), lambda rows: [p for r in rows for p in folds.split_text(r, 42)], "video_id long, seq long, start double, end double, text string")
 
 
@@ -361,8 +340,8 @@ def split_long(spark, sf_dir):
 
 @query
 def normalize_topics(spark, sf_dir):
-    """FLD06; unit-tested."""
-    return folds.fold(candidates(spark, sf_dir), lambda rows: folds.normalize_topics(rows, 1800.0), "video_id long, start double, end double, topic string, score double")
+    """FLD06, PRJ47, PRJ48, FLT02; tested on given cases."""
+    return folds.fold(topics(spark, sf_dir), lambda rows: topic_ops.normalize(rows, 1e9, 45.0), topic_ops.SCHEMA).drop("key_sentences")
 
 
 @query
@@ -405,8 +384,10 @@ def join_cleanup(spark, sf_dir):
 
 @query
 def english_sample(spark, sf_dir):
-    """AGG15: of the first five rows, those that aren't blank must be English: all if fewer than four, else four."""
+    """AGG15: of the first five rows, those that aren't blank must be English: all if fewer than four, else four. Without any, false."""
     w = Window.partitionBy("video_id").orderBy("seq")
-    first = _segments(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n <= 5").filter(text.stripped(F.col("text")) != "")
-    votes = first.groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(text.looks_english(F.col("text"))).alias("en"))
-    return votes.select("video_id", (F.col("en") >= F.least("n", F.lit(4))).alias("english"))
+    t = F.expr("CASE WHEN video_id % 10 = 3 OR seq = 1 THEN ' ' ELSE text END")
+    first = _segments(spark, sf_dir).withColumn("text", t).withColumn("n", F.row_number().over(w)).filter("n <= 5")
+    full = text.stripped(F.col("text")) != ""
+    votes = first.groupBy("video_id").agg(F.count_if(full).alias("n"), F.count_if(full & text.looks_english(F.col("text"))).alias("en"))
+    return votes.select("video_id", ((F.col("n") > 0) & (F.col("en") >= F.least("n", F.lit(4)))).alias("english"))
\ No newline at end of file

@@ -43,10 +43,22 @@ def test_split_text_keeps_words_and_span():
     assert " ".join(p["text"] for p in out) == row["text"] and out[-1]["end"] == 9.0 and all(len(p["text"]) <= 42 for p in out)
 
 
-def test_normalize_topics_absorbs_short():
-    rows = [seg(0, 8, topic="a", score=1.0), seg(8, 42, topic="b", score=2.0), seg(42, 55, topic="c", score=3.0)]
-    out = folds.normalize_topics(rows, 20)
-    assert [(r["start"], r["end"]) for r in out] == [(0, 55)] or all(r["end"] - r["start"] >= 20 for r in out)
+def test_change_points_start_and_end_with_the_video():
+    rows = [{"video_id": 1, "time": t, "diff": d} for t, d in ((0.2, 0.5), (0.3, 0.5), (0.5, 0.5), (0.8, 0.9), (1.0, 0.0151), (1.2, 0.3), (1.5, 0.3))]
+    assert [r["time"] for r in folds.change_points(rows, 2.0)] == [0.0, 0.5, 1.0, 1.5, 2.0]
+    assert [r["time"] for r in folds.change_points([], 2.0)] == [0.0, 2.0]
+
+
+def test_split_text_on_given_cases():
+    long = "This is a fairly long subtitle line, which goes on and on without any end in sight"
+    out = folds.split_text(seg(0.0, 6.0, long), 42)
+    assert [p["text"] for p in out] == ["This is a fairly long subtitle line,", "which goes on and on without any end in", "sight"]
+    assert out[0]["start"] == 0.0 and out[-1]["end"] == 6.0 and all(p["end"] > p["start"] for p in out)
+    assert folds.split_text(seg(3.0, 3.0, long), 42)[0]["end"] == 3.05
+    zh = "今天我们来看一看这个问题，它其实没有那么简单，需要慢慢说"
+    out = folds.split_text(seg(0.0, 4.0, zh), 22, "zh")
+    assert "".join(p["text"] for p in out) == zh and all(len(p["text"]) <= 22 for p in out) and out[0]["text"].endswith("，")
+    assert folds.split_text(seg(0.0, 1.0, "short", n=7), 42) == [seg(0.0, 1.0, "short", n=7)]
 
 
 def test_greedy_never_overlaps():
