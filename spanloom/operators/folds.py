@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.functions.strings import dedupe_sentences, repeats_itself
 from spanloom.functions.strings import split_text as split_text_parts
 
 Row = dict
@@ -112,6 +113,31 @@ def asr_dedupe(rows: list[Row]) -> list[Row]:
     return out
 
 
+def repetition_zones(rows: list[Row], alike: float = 0.85) -> list[Row]:
+    """Runs of segments that repeat themselves, or the one before, as one: the first's, without its repeated sentences, to the end of the last. Blank segments go."""
+    out, run, before = [], [], ""
+
+    def close() -> None:
+        if len(run) > 1:
+            out.append(run[0] | {"end": run[-1]["end"], "text": dedupe_sentences(run[0]["text"])})
+        else:
+            out.extend(run)
+        run.clear()
+
+    for r in sorted(rows, key=lambda r: (r["start"], r["end"])):
+        text = (r["text"] or "").strip()
+        if not text:
+            continue
+        if repeats_itself(text) or before and SequenceMatcher(None, before.lower(), text.lower()).ratio() >= alike:
+            run.append(r)
+        else:
+            close()
+            out.append(r)
+        before = text
+    close()
+    return out
+
+
 def split_long(row: Row, ends: list[float], least: float, most: float, target: float) -> list[tuple[float, float]]:
     """Cut a segment that is too long, at the boundaries nearest to the target where there are any."""
     start, end = row["start"], row["end"]

@@ -38,3 +38,10 @@ def zscores(rows: DataFrame, value: str) -> DataFrame:
     """(value - mean) / (population deviation + 1e-8) within a video."""
     w = Window.partitionBy("video_id")
     return rows.withColumn("z", (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + 1e-8))
+
+
+def weighted_zscores(rows: DataFrame, weights: dict[str, float], name: str) -> DataFrame:
+    """The weighted sum of several columns' zscores."""
+    w = Window.partitionBy("video_id")
+    parts = [(F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-8) * by for c, by in weights.items()]
+    return rows.withColumn(name, sum(parts[1:], parts[0]))

@@ -251,9 +251,12 @@ def choose(topics: list[Row], summaries: list[Row], asr: list[Row], b: Bounds) -
     return greedy_select([r | {"fit": clip_fit(r["start"], r["end"], asr, b)} for r in rows], b.clips)
 
 
-def candidate_score(base: Column, fit: Column, coverage: Column, words: Column) -> Column:
-    """A candidate's score from its base score, its fit and its share of speech, and a bonus for text up to 10."""
-    return F.round(F.least(F.lit(100.0), 0.55 * base + 0.20 * fit + 15.0 * coverage + F.least(F.lit(10.0), words / 10.0)), 2)
+def candidate_score(base: Column, duration: Column, speech: Column, summary: Column, reason: Column, target: float) -> Column:
+    """A candidate's rank: its base score, its length, its share of speech, and how much text tells of it."""
+    words = lambda c, most, first, each: F.when(text.stripped(c) == "", 0.0).otherwise(F.least(F.lit(most), first + each * F.size(F.split(text.stripped(c), "\\s+"))))
+    near = 1 - F.least(F.lit(1.0), F.abs(duration - target) / max(target, 1.0))
+    all_of = base * 0.55 + near * 20.0 + F.least(F.lit(1.0), speech / duration) * 15.0 + words(summary, 12.0, 3.0, 0.7) + words(reason, 10.0, 2.0, 0.5)
+    return F.when(duration <= 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), all_of)), 2))
 
 
 def merge_clusters(rows: list[Row], strategy: str) -> list[Row]:

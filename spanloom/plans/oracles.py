@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanloom.plans import media, subtitles  # noqa: F401  (they register theirs)
 from spanloom.plans.registry import SQL
 
 _ASR = """asr AS (SELECT conv_id AS video_id, turn AS seq, (s - length(text)) / 10.0::DOUBLE AS start, s / 10.0::DOUBLE AS "end", text, role
@@ -128,8 +129,6 @@ ORACLES = SQL | {
       f AS (SELECT *, n <= 6 OR s >= greatest(80, nth - 1) AS keep FROM k), g AS (SELECT *, bool_or(keep) OVER (PARTITION BY video_id) AS has FROM f)
       SELECT video_id, seq FROM g WHERE keep OR NOT has""",
     "topk_by_score": f"""WITH {_CAND}, r AS (SELECT video_id, seq, CAST(row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start, seq) AS INT) AS rank FROM cand) SELECT * FROM r WHERE rank <= 5""",
-    "burn_decision": """SELECT event_id, CASE WHEN event_type = 'view' THEN CASE WHEN (event_id % 100) / 100.0::DOUBLE < 0.85::DOUBLE THEN 'dual' ELSE 'mask_dual' END
-      WHEN event_type = 'click' THEN 'copy' WHEN event_type = 'error' THEN 'mask_dual' ELSE 'dual' END AS action FROM events""",
     "merge_windows": f"""WITH RECURSIVE {_CAND}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, "end") AS rn FROM cand),
       f AS (SELECT video_id, rn, start AS s, "end" AS e, 1 AS g FROM o WHERE rn = 1 UNION ALL
         SELECT o.video_id, o.rn, CASE WHEN m THEN f.s ELSE o.start END, o."end", CASE WHEN m THEN g ELSE g + 1 END

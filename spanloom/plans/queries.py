@@ -16,6 +16,8 @@ DURATION, OVERLAP = 60.0, 10.0
 
 
 def queries() -> dict[str, Query]:
+    from spanloom.plans import media, subtitles  # noqa: F401  (they register theirs)
+
     return dict(QUERIES)
 
 
@@ -193,13 +195,6 @@ def srt_lines(spark, sf_dir):
     return srt.srt_blocks(_segments(spark, sf_dir))
 
 
-@query
-def srt_scan(spark, sf_dir):
-    """SRC05, PRJ06: what the writer writes reads back; no SQL for the scan's tolerance."""
-    blocks = srt.srt_blocks(_segments(spark, sf_dir)).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))), lambda x: x["block"]), "\n").alias("value"))
-    return srt.scan_srt(blocks).select("video_id", "seq", "start", "end", F.md5("text").alias("text_md5"))
-
-
 @query
 def chunk_clusters(spark, sf_dir):
     """ISL02."""
@@ -266,13 +261,6 @@ def topk_by_score(spark, sf_dir):
     return candidates(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("video_id", "seq", "rank")
 
 
-@query
-def burn_decision(spark, sf_dir):
-    """PRJ30, PRJ31."""
-    status = F.when(F.col("event_type") == "view", "en").when(F.col("event_type") == "click", "zh").when(F.col("event_type") == "error", "bilingual").otherwise("none")
-    return table(spark, sf_dir, "events").select("event_id", scoring.burn_action(status, (F.col("event_id") % 100) / 100.0).alias("action"))
-
-
 @query
 def merge_windows(spark, sf_dir):
     """FLD02."""

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import fmt_srt, parse_srt
 
 
-def scan_srt(files: DataFrame, text: str = "value") -> DataFrame:
-    """Rows of whole files to segments: blocks of three lines or more with an arrow; a bad time is 0."""
+TIMES = {"regex": "^\\s*(\\d+:\\d+:\\d+[,.]\\d+)\\s*-->\\s*(\\d+:\\d+:\\d+[,.]\\d+)", "strict": "^\\s*(\\d+:\\d+:\\d+,\\d+)\\s*-->\\s*(\\d+:\\d+:\\d+,\\d+)"}
+
+
+def scan_srt(files: DataFrame, text: str = "value", style: str = "tolerant") -> DataFrame:
+    """Rows of whole files to segments: blocks of three lines or more with an arrow. A bad time is 0 in the tolerant style; in the others (regex: comma or point, strict: comma) its block goes."""
     blocks = files.select("*", F.posexplode(F.split(F.regexp_replace(F.col(text), "\\r", ""), "\\n\\s*\\n")).alias("block", "_b"))
-    lines = blocks.withColumn("_l", F.split(F.regexp_replace("_b", "^\\n+|\\n+$", ""), "\\n")).filter((F.size("_l") >= 3) & F.col("_l")[1].contains(" --> "))
-    stamp = F.split(F.col("_l")[1], " --> ")
+    lines = blocks.withColumn("_l", F.split(F.regexp_replace("_b", "^\\n+|\\n+$", ""), "\\n")).filter(F.size("_l") >= 3)
+    if style == "tolerant":
+        lines, stamp = lines.filter(F.col("_l")[1].contains(" --> ")), F.split(F.col("_l")[1], " --> ")
+    else:
+        lines, stamp = lines.filter(F.col("_l")[1].rlike(TIMES[style])), F.array(*[F.regexp_extract(F.col("_l")[1], TIMES[style], i) for i in (1, 2)])
     return lines.select(
         *[c for c in files.columns if c != text], F.col("block").alias("seq"), parse_srt(stamp[0]).alias("start"), parse_srt(stamp[1]).alias("end"),
         F.array_join(F.slice("_l", 3, F.size("_l")), " ").alias("text"),

@@ -1 +1 @@
-"""streaming of the timed-segment engine."""
+"""Structured Streaming forms of the engine's folds."""
