@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.session import ship
+from spanloom.session import new_path, ship
 
 #: Bytes of text that one unit of parallel work should hold.
 UNIT_BYTES = 8 << 20
@@ -22,24 +19,6 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own on local masters, and an error on others."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
-        found = tempfile.mkdtemp(prefix="spanloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table in the shared folder and read it again: this cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)

@@ -57,17 +57,24 @@ def test_substrings(spark):
     assert sorted(map(tuple, queries()["op10_substring_dedup"](spark, SF).collect())) == brute_removed(docs)
 
 
-def test_substrings_odd(odd, empty):
-    rows = [(r["doc_id"] if r["doc_id"] is not None else 1 << 62, (r["text"] or "").encode()[:3000]) for r in odd.collect()]
-    short = odd.withColumn("text", __import__("pyspark.sql.functions", fromlist=["x"]).substring("text", 1, 3000))
-    got = substring_dedup.digests(substring_dedup.repeated_spans(short)).collect()
-    rows = [(i, t) for i, t in rows if i < 1 << 62 or True]
-    want = brute_removed(rows) if all(len(t.decode(errors="ignore")) <= 3000 for _, t in rows) else None
-    mine = sorted((r[0] if r[0] is not None else 1 << 62, *r[1:]) for r in got)
-    assert len(mine) == len(rows) and (want is None or [m[0] for m in mine] == [w[0] for w in want])
+def test_substrings_odd(spark, odd, empty):
+    texts = [r["text"] for r in odd.collect()]
+    rows = [(i if i is not None else 1 << 62, (t or "")[:3000].encode()) for i, t in zip([r["doc_id"] for r in odd.collect()], texts, strict=True)]
+    short = spark.createDataFrame([(None if i == 1 << 62 else i, t.decode()) for i, t in rows], "doc_id long, text string")
+    got = sorted((r[0] if r[0] is not None else 1 << 62, *r[1:]) for r in substring_dedup.digests(substring_dedup.repeated_spans(short)).collect())
+    assert got == brute_removed(rows) and sum(r[2] for r in got) > 2000
     assert substring_dedup.digests(substring_dedup.repeated_spans(empty)).count() == 0
 
 
+def test_substrings_under_one_frequent_line(spark):
+    """A line that many documents have, with other words about it in each: all under one anchor."""
+    line = "this line of words is in every document of the table, and it is longer than fifty bytes by far"
+    rows = [(i, f"{hashlib.md5(bytes([i])).hexdigest()} {line} {hashlib.sha1(bytes([i])).hexdigest()}".encode()) for i in range(60)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string")
+    got = sorted(tuple(r) for r in substring_dedup.digests(substring_dedup.repeated_spans(df)).collect())
+    assert got == brute_removed(rows) and all(r[2] >= len(line) for r in got[1:])
+
+
 def brute_groups(rows):
     sets = {}
     for i, t in rows:
