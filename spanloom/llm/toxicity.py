@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ WORD = re.compile(r"[^\W\d_]+")
 EXAMPLES, TERMS = 8192, 20_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Cells (terms x examples) of the terms that stand in full, texts that meet them at once, and words whose terms a worker keeps.
-DENSE, BATCH, STORE = 1 << 22, 256, 300_000
+DENSE, BATCH, STORE = 1 << 22, 256, 150_000
+#: Terms whose postings are made into weights at once.
+PART = 1 << 15
 #: A term that tells labels apart has LEAST rows and SHARE of the rarer label's rows at least, and a likelihood ratio of 2 ln(terms tried) at least.
 LEAST, SHARE, TELLING = 3, 0.02, 8.0
 PREFIX = 5
@@ -71,16 +74,16 @@ class Index:
         self, examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], share: float, k: int = NEIGHBOURS, block: int = BLOCK, dense: int = DENSE
     ) -> None:
         names = sorted(idf)
-        at = {t: j for j, t in enumerate(names)}
-        held = [(i, y, {t: n for t, n in c.items() if t in at}) for i, y, c in examples]
-        row = np.repeat(np.arange(len(held)), [len(c) for _, _, c in held])
-        term = np.array([at[t] for _, _, c in held for t in c], np.int64)
-        times = np.array([n for _, _, c in held for n in c.values()], np.int64)
+        number = {t: j for j, t in enumerate(names)}
+        held = [(i, y, {t: n for t, n in c.items() if t in number}) for i, y, c in examples]
+        row = np.repeat(np.arange(len(held), dtype=np.int32), [len(c) for _, _, c in held])
+        term = np.array([number[t] for _, _, c in held for t in c], np.int32)
+        times = np.array([n for _, _, c in held for n in c.values()], np.int32)
         ids, labels = np.array([i for i, _, _ in held], np.int64), np.array([y for _, y, _ in held], np.int64)
-        self._learn(names, np.array([idf[t] for t in names], float), ids, labels, row, term, times, share, (k, block, dense))
+        self._learn(pa.array(names, pa.string()), np.array([idf[t] for t in names], float), ids, labels, row, term, times, share, (k, block, dense))
 
     @classmethod
-    def of(cls, names: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, share: float) -> Index:
+    def of(cls, names: pa.Array, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, share: float) -> Index:
         """From sorted names of terms with their idf, and one entry of row, term and times for each term of an example."""
         new = cls.__new__(cls)
         new._learn(names, idf, ids, labels, row, term, times, share, (NEIGHBOURS, BLOCK, DENSE))
@@ -91,17 +94,17 @@ class Index:
         norms = np.sqrt(np.bincount(row, weight * weight, len(ids)))
         # alike examples side by side make tight bounds: by their heaviest term
         heavy = np.full(len(ids), len(names))
+        starts, most_of = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)]), np.zeros(len(ids))
         if len(row):
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            most = np.repeat(np.maximum.reduceat(weight, starts), np.diff(np.r_[starts, len(row)]))
-            heavy[row[starts]] = np.minimum.reduceat(np.where(weight == most, term, len(names)), starts)
-            del most
+            most_of[row[starts]] = np.maximum.reduceat(weight, starts)
+            heavy[row[starts]] = np.minimum.reduceat(np.where(weight == most_of[row], term, np.int32(len(names))), starts)
         del weight
         order = np.lexsort((ids, heavy))
         order = order[norms[order] > 0]
         place = np.zeros(len(ids), np.int64)
         place[order] = np.arange(len(order))
-        by = np.argsort(term * len(ids) + place[row], kind="stable")
+        del most_of, starts
+        by = np.argsort(term.astype(np.int64) * len(ids) + place[row], kind="stable")
         self.held = (names, idf, share, sizes, ids[order], labels[order], norms[order], np.bincount(term, minlength=len(names)).astype(np.uint32),
                      place[row[by]].astype(np.uint32), times[by].astype(np.uint32))
 
@@ -123,19 +126,25 @@ class Index:
     def _enter(self, held: tuple) -> None:
         self.held = held
         self.names, self.idf, self.share, (self.k, self.block, dense), ids, labels, norms, counts, at, times = held
-        self.terms = {t: j for j, t in enumerate(self.names)}
         self.ids, self.labels, n = ids.tolist(), labels.tolist(), len(ids)
         self.id_of, self.blocks, self.words, self.known = ids, -(-n // self.block), {}, np.empty((0, 3), np.int64)
-        term = np.repeat(np.arange(len(self.names), dtype=np.int32), counts)
-        weight = (1 + np.log(np.maximum(times, 1))) * self.idf[term] / norms[at] if n else np.empty(0)
         # the terms with the longest postings, by number on a tie
         full = np.argsort(-counts.astype(np.int64), kind="stable")[: dense // max(1, n)]
         self.full_of = np.full(len(self.names), -1, np.int32)
         self.full_of[full] = np.arange(len(full))
-        mine = self.full_of[term] >= 0
         self.full = np.zeros((len(full), n))
-        self.full[self.full_of[term[mine]], at[mine]] = weight[mine]
-        term, self.at, self.weight = term[~mine], at[~mine].astype(np.intp), weight[~mine]
+        left = int(counts[self.full_of < 0].sum())
+        term, self.at, self.weight = np.empty(left, np.int32), np.empty(left, np.intp), np.empty(left)
+        ends, used = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), 0
+        for a in range(0, len(self.names), PART):  # a part at a time, as an executor's memory is shared
+            some = slice(ends[a], ends[min(a + PART, len(self.names))])
+            own = np.repeat(np.arange(a, min(a + PART, len(self.names)), dtype=np.int32), counts[a : a + PART])
+            weight, where = (1 + np.log(np.maximum(times[some], 1))) * self.idf[own] / norms[at[some]], at[some]
+            mine = self.full_of[own] >= 0
+            self.full[self.full_of[own[mine]], where[mine]] = weight[mine]
+            to = slice(used, used + int((~mine).sum()))
+            term[to], self.at[to], self.weight[to] = own[~mine], where[~mine], weight[~mine]
+            used = to.stop
         # an entry is another term in a block: its block, its greatest weight, and its postings; terms have entries from first[term] on
         own = self.at // self.block
         start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (own[1:] != own[:-1])][: len(term)])
@@ -143,10 +152,14 @@ class Index:
         self.block_of, self.start = own[start], np.r_[start, len(term)]
         self.first = np.searchsorted(term[start], np.arange(len(self.names) + 1))
 
-    def _word(self, word: str) -> tuple[int, int, int]:
-        """The numbers of a word, of its start and of its start met again; -1 where unknown."""
-        get, start = self.terms.get, word[:PREFIX] + "*"
-        return (get(word, -1), get(start, -1), get(start + "2", -1)) if len(word) > PREFIX else (get(word, -1), -1, -1)
+    def _numbers(self, terms: list[str | None]) -> np.ndarray:
+        """The numbers of terms; -1 where unknown."""
+        return pa.compute.index_in(pa.array(terms, pa.string()), value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+
+    def _word_numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, of their starts and of their starts met again; -1 where unknown."""
+        starts = [w[:PREFIX] + "*" if len(w) > PREFIX else None for w in words]
+        return np.stack([self._numbers(words), self._numbers(starts), self._numbers([s and s + "2" for s in starts])], 1)
 
     def units(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The numbers of each text's known terms, those that terms_of() finds, and their weights in a vector of unit length."""
@@ -160,10 +173,10 @@ class Index:
             used = len(self.words)
             if used + len(new) > len(self.known):
                 self.known = np.concatenate([self.known[:used], np.empty((max(len(new), used + 1024), 3), np.int64)])
-            self.known[used : used + len(new)] = [self._word(w) for w in new]
+            self.known[used : used + len(new)] = self._word_numbers(new)
             self.words.update(zip(new, range(used, used + len(new)), strict=True))
             found = list(map(self.words.get, every))
-        size, text = len(self.terms) + 1, np.repeat(np.arange(len(texts)), list(map(len, words)))
+        size, text = len(self.names) + 1, np.repeat(np.arange(len(texts)), list(map(len, words)))
         known = self.known[np.array(found, np.intp)]
         word, start = known[:, 0] >= 0, known[:, 1] >= 0
         keys, times = np.unique(text[word] * size + known[word, 0], return_counts=True)
@@ -179,12 +192,14 @@ class Index:
         return [(term[a:b], w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _unit(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        term = np.array(sorted(self.terms[t] for t in counts if t in self.terms), np.int64)
-        w = (1 + np.log(np.array([counts[self.names[t]] for t in term], float))) * self.idf[term]
-        return term, w / (np.sqrt(w @ w) or 1.0)
+        number, times = self._numbers(list(counts)), np.array(list(counts.values()), float)
+        order = np.argsort(number)[(number < 0).sum() :]
+        w = (1 + np.log(times[order])) * self.idf[number[order]]
+        return number[order], w / (np.sqrt(w @ w) or 1.0)
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        return {self.names[t]: float(x) for t, x in zip(*self._unit(counts), strict=True)}
+        term, w = self._unit(counts)
+        return dict(zip(self.names.take(pa.array(term)).to_pylist(), w.tolist(), strict=True))
 
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For unit vectors as terms and weights, the places and similarities of the k most similar examples with positive similarity."""
@@ -287,13 +302,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
         return Index([], {}, 0.0)
     lists = [found[c].combine_chunks() for c in ("terms", "n")]
     del found
-    row = np.repeat(np.arange(len(ids)), lists[0].value_lengths().to_numpy())
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), lists[0].value_lengths().to_numpy())
     coded, times = lists[0].flatten().dictionary_encode(), lists[1].flatten().to_numpy()
     del lists
-    names = coded.dictionary.to_pylist()
-    order = sorted(range(len(names)), key=names.__getitem__)
-    rank = np.empty(len(names), np.int64)
-    rank[order] = np.arange(len(names))
+    order = pa.compute.sort_indices(coded.dictionary).to_numpy()
+    names, rank = coded.dictionary.take(pa.array(order)), np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
     term = rank[coded.indices.to_numpy()]
     del coded
     # copies of one text are no independent evidence of which terms tell: rows that begin or end with the same words count once there
@@ -301,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     alone[_firsts(tail, y, np.sort(_firsts(head, y, np.arange(len(ids)))))] = True
     idf = np.log((1 + len(ids)) / (1 + np.bincount(term, minlength=len(names)))) + 1
     idf[_telling(term, row, len(names), y, alone, terms)] *= TELLING
-    return Index.of([names[j] for j in order], idf, ids, y, row, term, times, float(y.mean()))
+    return Index.of(names, idf, ids, y, row, term, times, float(y.mean()))
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
