@@ -13,6 +13,20 @@ UNIT_BYTES = 8 << 20
 BATCH_BYTES = "4m"
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What a worker process keeps between tasks: the store of the operator that it ran last, and no other, since an executor's workers share its memory."""
+    if name not in _KEPT:
+        for had in _KEPT.values():
+            if isinstance(had, dict):
+                had.clear()
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def prepare(spark: SparkSession) -> None:
     """Send this package to the Python workers; and bound what passes to them at once, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

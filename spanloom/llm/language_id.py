@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fold_of, remove, stored, table
+from spanloom.llm.common import fold_of, kept, remove, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the model.
@@ -170,17 +170,6 @@ class Store:
         return self.rows[found]
 
 
-#: A worker process's store for the model it last met.
-_STORES: dict[str, Store] = {}
-
-
-def _store(name: str, held) -> Store:
-    if name not in _STORES:
-        _STORES.clear()
-        _STORES[name] = Store(held.value)
-    return _STORES[name]
-
-
 def fit(train: DataFrame) -> Model:
     """Learn from lang and text of all rows of train."""
     known = train.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
@@ -221,7 +210,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     held, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _store(name, held)
+        store = kept(name, lambda: Store(held.value))
         for batch in batches:
             found = [held.value.predict(t, store) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import stored, table
+from spanloom.llm.common import kept, stored, table
 from spanloom.session import unused
 
 DOMAINS = ("high", "low", "toxic")
@@ -67,6 +67,10 @@ def features_of(word: str) -> tuple[int, int]:
     return found
 
 
+def _keep() -> None:
+    kept("mixing", lambda: _FEATURES)
+
+
 def _words(text: str | None) -> Counter:
     words = Counter(SPACE.split(text or ""))
     words.pop("", None)
@@ -80,6 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[n
     sample = stored(rows.groupBy("doc_id").agg(F.max("d").alias("d")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples), "mix-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep()
         sums: dict[tuple[int, int], int] = defaultdict(int)
         for batch in batches:
             for d, text in zip(batch["d"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -108,6 +113,7 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], names: tup
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep()
         share, rate = held.value
         for batch in batches:
             n, p = [], []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import UNIT_BYTES, remove, stored, table
+from spanloom.llm.common import UNIT_BYTES, kept, remove, stored, table
 from spanloom.session import unused
 
 WORDS, SIZE, BANDS, ROWS = 5, 512, 32, 4
@@ -178,6 +178,7 @@ _SKETCHED = "doc_id long, n long, digest binary, keys array<long>, bands binary,
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("near_dedup", dict)
     for batch in batches:
         for part in (batch.slice(s, 512) for s in range(0, batch.num_rows, 512)):
             texts = [normal(t) for t in part["text"].to_pylist()]

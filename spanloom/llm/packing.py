@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import UNIT_BYTES, stored, table, units_of
+from spanloom.llm.common import UNIT_BYTES, kept, stored, table, units_of
 
 END_ID = 2
 SEQUENCE = 4096
@@ -42,13 +42,13 @@ def tokenizer_path() -> str:
 #: What the tokenizer takes for white space, and the characters that only str.split() takes for it.
 SPACE, APART = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), "\x1c\x1d\x1e\x1f"
 
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
-
 
 def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Text to its ids as little-endian 32-bit numbers. A worker process keeps one encoder for a path."""
-    if path in _ENCODERS:
-        return _ENCODERS[path]
+    """Text to its ids as little-endian 32-bit numbers. A worker process keeps the encoder of a path."""
+    return kept(f"packing {path}", lambda: _encoder(path))
+
+
+def _encoder(path: str) -> Callable[[str], bytes]:
     import os
 
     import numpy as np
@@ -108,7 +108,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
             learn(new)
         return b"".join(map(store.__getitem__, words))
 
-    return _ENCODERS.setdefault(path, encode)
+    return encode
 
 
 class FirstFit:

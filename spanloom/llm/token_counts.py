@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import kept, table
 
 MARK = "▁"
 PENALTY = 10.0
@@ -32,8 +32,6 @@ STORE, KEPT = 300_000, 64
 #: ASCII white space; str.split() would cut at more.
 SPACE = re.compile("[\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, n_words long, n_tokens long, score double"
-#: What a worker process keeps between tasks: a vocabulary's counting function, and its words' counts.
-_KEPT: dict[str, tuple[Callable[[str], tuple[int, float]], dict[str, tuple[int, float]]]] = {}
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -85,20 +83,13 @@ def counter(pieces: list[tuple[str, float]], byte_fallback: bool = True) -> Call
     return count
 
 
-def _kept(name: str, held, byte_fallback: bool) -> tuple[Callable[[str], tuple[int, float]], dict[str, tuple[int, float]]]:
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = counter(held.value, byte_fallback), {}
-    return _KEPT[name]
-
-
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], byte_fallback: bool = True) -> DataFrame:
     """doc_id, n_words, n_tokens and score of each row. The vocabulary is broadcast; its size doesn't depend on the documents."""
     held = docs.sparkSession.sparkContext.broadcast(pieces)
     name = hashlib.sha256(repr((pieces, byte_fallback)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, store = _kept(name, held, byte_fallback)
+        count, store = kept(name, lambda: (counter(held.value, byte_fallback), {}))
         for batch in batches:
             rows = []
             for text in batch["text"].to_pylist():

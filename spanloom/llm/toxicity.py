@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fold_of, stored, table
+from spanloom.llm.common import fold_of, kept, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of what is learnt: examples, whose terms are all broadcast, and terms that weigh more.
@@ -324,6 +324,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     kind = pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity", dict)
         ids, labels = np.array(held.value.ids, np.int64), np.array(held.value.labels, np.int32)
         for batch in batches:
             found = list(held.value.score_many(batch["text"].to_pylist()))
@@ -343,6 +344,7 @@ def reject(docs: DataFrame, index: Index, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity", dict)
         for batch in batches:
             yield batch.filter(pa.array([x[0] < least for x in held.value.score_many(batch.column(at).to_pylist())], pa.bool_()))
 
