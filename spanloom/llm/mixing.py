@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,33 +48,43 @@ PULL, MOST, NEAR = 1e-3, 16.0, 0.25
 STEPS, CLOSE, MET, MOVES = 60, 1e-9, 1e-6, 6
 #: Distinct words whose features a worker process keeps.
 STORE = 300_000
-SPACE = re.compile("[\x20\x09-\x0d]+")
 SHAPES = str.maketrans({**dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("0123456789", "0")})
 RUNS = re.compile(r"(.)\1+")
-_FEATURES: dict[str, tuple[int, int]] = {}
+_FEATURES: dict[bytes, int] = {}
 
 
 def features_of(word: str) -> tuple[int, int]:
-    """The hashed features of a word: itself in lower case, and its shape. A worker process keeps those of the words it met."""
-    found = _FEATURES.get(word)
-    if found is None:
-        shape = RUNS.sub(r"\1", word.translate(SHAPES))[:12]
-        found = zlib.crc32(word.lower().encode()) % FEATURES, zlib.crc32(b"\0" + shape.encode()) % FEATURES
-        if len(word) <= 64:
-            if len(_FEATURES) >= STORE:
-                _FEATURES.clear()
-            _FEATURES[word] = found
-    return found
+    """The hashed features of a word: itself in lower case, and its shape."""
+    shape = RUNS.sub(r"\1", word.translate(SHAPES))[:12]
+    return zlib.crc32(word.lower().encode()) % FEATURES, zlib.crc32(b"\0" + shape.encode()) % FEATURES
+
+
+def _code(word: bytes) -> int:
+    """Both features of a word in one number. A worker process keeps those of the words it met."""
+    own, shape = features_of(word.decode())
+    if len(word) <= 256:
+        if len(_FEATURES) >= STORE:
+            _FEATURES.clear()
+        _FEATURES[word] = own * FEATURES + shape
+    return own * FEATURES + shape
+
+
+def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of words, as numbers of words and of shapes."""
+    found = list(map(_FEATURES.get, words))
+    if None in found:
+        found = [_code(w) if c is None else c for w, c in zip(words, found, strict=True)]
+    return np.divmod(np.array(found, np.int64), FEATURES)
 
 
 def _keep() -> None:
     kept("mixing", lambda: _FEATURES)
 
 
-def _words(text: str | None) -> Counter:
-    words = Counter(SPACE.split(text or ""))
-    words.pop("", None)
-    return words
+def _words(text: str | None) -> tuple[list[bytes], int]:
+    """The distinct words of a text in UTF-8, which bytes split at just the six ASCII spaces, and the number of all words."""
+    words = (text or "").encode().split()
+    return list(dict.fromkeys(words)), len(words)
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[n
         for batch in batches:
             for d, text in zip(batch["d"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 sums[d, -1] += 1
-                for word in _words(text):
-                    for f in features_of(word):
-                        sums[d, f] += 1
+                for f in np.concatenate(_features(_words(text)[0])).tolist():
+                    sums[d, f] += 1
         ds, fs = zip(*sums, strict=True) if sums else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int32()), pa.array(fs, pa.int32()), pa.array(sums.values(), pa.int64())], names=["d", "f", "n"])
 
@@ -118,13 +127,13 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], names: tup
         for batch in batches:
             n, p = [], []
             for text in batch.column(at).to_pylist():
-                words = _words(text)
+                words, total = _words(text)
                 x = share.copy()
                 if words:  # tempered: words of one text aren't independent
-                    fs = list(map(features_of, words))
-                    x = x + rate[np.array(fs).ravel()].sum(0) * (min(1.0, 8.0 / (2 * len(fs)) ** 0.5))
+                    own, shape = _features(words)
+                    x = x + (rate[own].sum(0) + rate[shape].sum(0)) * (min(1.0, 8.0 / (2 * len(words)) ** 0.5))
                 e = np.exp(x - x.max())
-                n.append(words.total())
+                n.append(total)
                 p.append((e / e.sum()).tolist())
             cols = [batch.column(i) for i in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*(batch.schema.names[i] for i in kept), *names])
