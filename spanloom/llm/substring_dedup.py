@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stored, table, units_of
+from spanloom.llm.common import release, stored, table, units_of
 
 LENGTH, K = 50, 16
 #: Bytes hashed at once, of text between a task's flushes, of T sorted at once (an anchor's segments stay together), and of text in a bucket or shard.
@@ -122,8 +122,19 @@ def _records(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 5
 
 
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """Numbers of some bytes as all their first bytes, then all their second ones, and so on: the high ones, mostly zero or alike, vanish when Spark compresses what it shuffles or writes."""
+    return x.view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def _whole(blob: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    """n numbers from their planes, which begin at a place in blob."""
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n)
+
+
 def _packed(cols: dict[str, np.ndarray], kinds: dict[str, str]) -> bytes:
-    return b"".join(np.ascontiguousarray(cols[c].astype(t)).tobytes() for c, t in kinds.items())
+    return b"".join(_planes(np.ascontiguousarray(cols[c].astype(t)), np.dtype(t).itemsize) for c, t in kinds.items())
 
 
 def _unpacked(blobs: list[bytes], kinds: dict[str, str]) -> dict[str, np.ndarray]:
@@ -131,7 +142,7 @@ def _unpacked(blobs: list[bytes], kinds: dict[str, str]) -> dict[str, np.ndarray
     for blob in blobs:
         n, at = len(blob) // size, 0
         for c, t in kinds.items():
-            out[c].append(np.frombuffer(blob, t, n, at))
+            out[c].append(_whole(blob, t, n, at))
             at += n * np.dtype(t).itemsize
     return {c: np.concatenate(v) if v else np.empty(0, kinds[c]) for c, v in out.items()}
 
@@ -157,6 +168,8 @@ def _classes(h: np.ndarray, seg: np.ndarray, ids: np.ndarray) -> tuple[np.ndarra
 
 #: Records of a bucket: anchor (its low 32 bits), segment, place of the document in the list beside them, first window, number of windows.
 _SEEN = {"h": "<u4", "seg": "<u8", "doc": "<u4", "lo": "<u8", "n": "u1"}
+#: Documents of a bucket's records.
+_DOCS = {"id": "<i8", "row": "<i8"}
 #: Windows that go, and segments whose bytes are wanted, by row.
 _GONE = {"row": "<i8", "lo": "<u8", "n": "u1"}
 _OPEN = {"row": "<i8", "lo": "<u8", "n": "u1", "anchor": "<u8"}
@@ -188,7 +201,7 @@ def _scan(buckets: int, shards: int, length: int, k: int):
                 mine, gone = part[kept], part[~kept]
                 docs, local = np.unique(who[mine], return_inverse=True)
                 cols = {"h": h[mine] & np.uint64(0xFFFFFFFF), "seg": seg[mine], "doc": local, "lo": lo[mine], "n": n[mine]}
-                out.append((int(bucket[part[0]]), doc[docs].tobytes(), _packed(cols, _SEEN), _packed({"row": doc[who[gone], 1], "lo": lo[gone], "n": n[gone]}, _GONE)))
+                out.append((int(bucket[part[0]]), _packed({"id": doc[docs, 0], "row": doc[docs, 1]}, _DOCS), _packed(cols, _SEEN), _packed({"row": doc[who[gone], 1], "lo": lo[gone], "n": n[gone]}, _GONE)))
         return _blobs(names, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +260,7 @@ def _settle(shards: int):
 
     def run(held: list[pa.RecordBatch]) -> pa.Table:
         bucket, seen = held[0]["bucket"][0].as_py(), _column(held, "seen")
-        names = [np.frombuffer(d, np.int64).reshape(-1, 2) for d in _column(held, "docs")]
+        names = [np.stack(list(_unpacked([d], _DOCS).values()), 1) for d in _column(held, "docs")]
         gone = _unpacked(_column(held, "gone"), _GONE)
         held.clear()
         c, sizes = _unpacked(seen, _SEEN), [len(x) // sum(np.dtype(k).itemsize for k in _SEEN.values()) for x in seen]
@@ -415,6 +428,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     texts = rows.groupBy("shard")
     scanned = rows.select("id", "row", "text").mapInArrow(_scan(buckets, shards, length, k), "bucket long, docs binary, seen binary, gone binary")
     settled = stored(_dealt_by_bucket(scanned, buckets).mapInArrow(_by_bucket(_settle(shards)), _OUT), "substring-settled")
+    release(docs.sparkSession)  # the records were shuffled for this table alone
     wanted = settled.filter(F.length("open") > 0).groupBy("shard")
     fetched = texts.cogroup(wanted).applyInArrow(_fetch(length), "bucket long, held binary, data binary")
     found = _dealt_by_bucket(fetched, buckets).mapInArrow(_by_bucket(_expand(shards, length)), _OUT)
