@@ -7,7 +7,8 @@ reach by chance, given how many were tried), at most TERMS, weigh TELLING times
 The vectors stand in an inverted index cut into blocks of BLOCK examples, with the greatest weight of each term in each block. The terms with the longest
 postings, as many as DENSE cells hold, stand in full instead, so that a batch of texts meets them in one matrix product. For a text, a block's bound is the greatest
 of its examples' sums over these terms, plus the sum of the block's greatest weights of the others. As weights are positive, the k-th greatest of the examples' sums is a similarity that
-k examples reach: blocks whose bounds are under it are ruled out, and the others scored exactly. The neighbours vote with their similarity; PRIOR votes of the sample's share
+k examples reach: blocks whose bounds are under it are ruled out, and the others scored exactly. Bounds are summed some terms at a time, no further than until a
+quarter of the blocks stays in any case, as all are scored then. The neighbours vote with their similarity; PRIOR votes of the sample's share
 of toxic rows keep the score calibrated where few or no neighbours are near. The neighbours are the evidence. Similarities are rounded to nine places, so that equal examples tie.
 
 Defined cases: a null text counts as empty; a text without known terms gets the sample's share; of several labels of one row the greatest counts; null
@@ -39,8 +40,8 @@ EXAMPLES, TERMS = 8192, 20_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Cells (terms x examples) of the terms that stand in full, texts that meet them at once, and words whose terms a worker keeps.
 DENSE, BATCH, STORE = 1 << 22, 256, 150_000
-#: Terms whose postings are made into weights at once.
-PART = 1 << 15
+#: Terms whose postings are made into weights at once, and terms of a text that bounds begin with.
+PART, PROBE = 1 << 15, 64
 #: A term that tells labels apart has LEAST rows and SHARE of the rarer label's rows at least, and a likelihood ratio of 2 ln(terms tried) at least.
 LEAST, SHARE, TELLING = 3, 0.02, 8.0
 PREFIX = 5
@@ -67,6 +68,19 @@ def _spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths), lengths
 
 
+class Runs:
+    """Numbers of which many short runs are read together: they are held as bytes, whose parts are joined faster than those of arrays."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.kind, self.data = numbers.dtype, numbers.tobytes()
+        self.numbers = np.frombuffer(self.data, self.kind)
+
+    def between(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The runs from starts to stops, one after the other."""
+        data, size = self.data, self.kind.itemsize
+        return np.frombuffer(b"".join([data[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist(), strict=True)]), self.kind)
+
+
 class Index:
     """Examples as TF-IDF vectors of unit length, in blocks."""
 
@@ -128,13 +142,22 @@ class Index:
         self.names, self.idf, self.share, (self.k, self.block, dense), ids, labels, norms, counts, at, times = held
         self.ids, self.labels, n = ids.tolist(), labels.tolist(), len(ids)
         self.id_of, self.blocks, self.words, self.known = ids, -(-n // self.block), {}, np.empty((0, 3), np.int64)
+        # names are found by this process's hashes of them; those that share a hash are kept apart
+        hashes = np.empty(len(self.names), np.int64)
+        for a in range(0, len(self.names), PART):
+            hashes[a : a + PART] = list(map(hash, self.names.slice(a, PART).to_pylist()))
+        self.by_hash = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.by_hash]
+        alike = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+        alike = self.by_hash[np.union1d(alike, alike + 1)]
+        self.alike = dict(zip(self.names.take(pa.array(alike)).to_pylist(), alike.tolist(), strict=True))
         # the terms with the longest postings, by number on a tie
         full = np.argsort(-counts.astype(np.int64), kind="stable")[: dense // max(1, n)]
         self.full_of = np.full(len(self.names), -1, np.int32)
         self.full_of[full] = np.arange(len(full))
         self.full = np.zeros((len(full), n))
         left = int(counts[self.full_of < 0].sum())
-        term, self.at, self.weight = np.empty(left, np.int32), np.empty(left, np.intp), np.empty(left)
+        term, posts, weights = np.empty(left, np.int32), np.empty(left, np.min_scalar_type(n)), np.empty(left)
         ends, used = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), 0
         for a in range(0, len(self.names), PART):  # a part at a time, as an executor's memory is shared
             some = slice(ends[a], ends[min(a + PART, len(self.names))])
@@ -143,39 +166,63 @@ class Index:
             mine = self.full_of[own] >= 0
             self.full[self.full_of[own[mine]], where[mine]] = weight[mine]
             to = slice(used, used + int((~mine).sum()))
-            term[to], self.at[to], self.weight[to] = own[~mine], where[~mine], weight[~mine]
+            term[to], posts[to], weights[to] = own[~mine], where[~mine], weight[~mine]
             used = to.stop
         # an entry is another term in a block: its block, its greatest weight, and its postings; terms have entries from first[term] on
-        own = self.at // self.block
+        own = (posts // self.block).astype(np.min_scalar_type(self.blocks))
         start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (own[1:] != own[:-1])][: len(term)])
-        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.block_of, self.start = own[start], np.r_[start, len(term)]
-        self.first = np.searchsorted(term[start], np.arange(len(self.names) + 1))
+        self.most = Runs(np.maximum.reduceat(weights, start) if len(start) else np.empty(0))
+        self.block_of, self.start = Runs(own[start]), np.r_[start, len(term)]
+        self.first = np.searchsorted(term[start], np.arange(len(self.names) + 1, dtype=np.int32))
+        del term, own, start
+        self.at = Runs(posts)
+        del posts
+        self.weight = Runs(weights)
 
     def _numbers(self, terms: list[str | None]) -> np.ndarray:
         """The numbers of terms; -1 where unknown."""
-        return pa.compute.index_in(pa.array(terms, pa.string()), value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+        numbers = np.full(len(terms), -1, np.int64)
+        if not len(self.names):
+            return numbers
+        own = np.fromiter(map(hash, terms), np.int64, len(terms))
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        maybe = np.flatnonzero(self.hashes[at] == own)
+        found = self.by_hash[at[maybe]]
+        same = pa.compute.equal(self.names.take(pa.array(found)), pa.array([terms[i] for i in maybe.tolist()], pa.string()))
+        same = same.fill_null(False).to_numpy(zero_copy_only=False)
+        numbers[maybe[same]] = found[same]
+        if self.alike:
+            for i in maybe.tolist():
+                numbers[i] = self.alike.get(terms[i], numbers[i])
+        return numbers
 
     def _word_numbers(self, words: list[str]) -> np.ndarray:
         """The numbers of words, of their starts and of their starts met again; -1 where unknown."""
-        starts = [w[:PREFIX] + "*" if len(w) > PREFIX else None for w in words]
-        return np.stack([self._numbers(words), self._numbers(starts), self._numbers([s and s + "2" for s in starts])], 1)
+        found = np.full((len(words), 3), -1, np.int64)
+        found[:, 0] = self._numbers(words)
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) > PREFIX:
+                at.setdefault(w[:PREFIX], []).append(i)
+        own, starts = np.fromiter(chain.from_iterable(at.values()), np.int64), list(at)
+        for column, end in ((1, "*"), (2, "*2")):
+            found[own, column] = np.repeat(self._numbers([s + end for s in starts]), list(map(len, at.values())))
+        return found
 
     def units(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The numbers of each text's known terms, those that terms_of() finds, and their weights in a vector of unit length."""
         words = [WORD.findall((t or "").lower()) for t in texts]
         every = list(chain.from_iterable(words))
-        found = list(map(self.words.get, every))
-        if None in found:
-            new = list(dict.fromkeys(w for w, i in zip(every, found, strict=True) if i is None))
+        new = list(set(every).difference(self.words))
+        if new:
             if len(self.words) + len(new) > STORE:
-                self.words, new = {}, list(dict.fromkeys(every))
+                self.words, new = {}, list(set(every))
             used = len(self.words)
             if used + len(new) > len(self.known):
                 self.known = np.concatenate([self.known[:used], np.empty((max(len(new), used + 1024), 3), np.int64)])
             self.known[used : used + len(new)] = self._word_numbers(new)
             self.words.update(zip(new, range(used, used + len(new)), strict=True))
-            found = list(map(self.words.get, every))
+        found = list(map(self.words.__getitem__, every))
         size, text = len(self.names) + 1, np.repeat(np.arange(len(texts)), list(map(len, words)))
         known = self.known[np.array(found, np.intp)]
         word, start = known[:, 0] >= 0, known[:, 1] >= 0
@@ -216,20 +263,25 @@ class Index:
         for (term, w), own, top in zip(queries, sums, tops, strict=True):
             rest = self.full_of[term] < 0
             term, w = term[rest], w[rest]
-            entries, lengths = _spans(self.first[term], self.first[term + 1])
-            weights, blocks = np.repeat(w, lengths), self.block_of[entries]
-            bound = top + np.bincount(blocks, weights * self.most[entries], self.blocks)
+            first, last = self.first[term], self.first[term + 1]
             reached = np.partition(own, -self.k)[-self.k] if len(own) >= self.k else 0.0
-            now = (bound > 0) & (bound + 1e-9 >= reached)
+            bound, a, z = top.copy(), 0, PROBE
+            while 4 * (now := (bound > 0) & (bound + 1e-9 >= reached)).sum() < self.blocks and a < len(term):  # bounds only grow
+                some = self.block_of.between(first[a:z], last[a:z])
+                bound += np.bincount(some, np.repeat(w[a:z], last[a:z] - first[a:z]) * self.most.between(first[a:z], last[a:z]), self.blocks)
+                a, z = z, 2 * z
             if 4 * now.sum() < self.blocks:
-                here = now[blocks]
-                posts, lengths = _spans(self.start[entries[here]], self.start[entries[here] + 1])
-                weights = np.repeat(weights[here], lengths)
+                entries, lengths = _spans(first, last)
+                here = now[self.block_of.numbers[entries]]
+                weights, entries = np.repeat(w, lengths)[here], entries[here]
+                posts, lengths = _spans(self.start[entries], self.start[entries + 1])
+                own += np.bincount(self.at.numbers[posts], np.repeat(weights, lengths) * self.weight.numbers[posts], len(own))
             else:  # whole postings are read faster than many of their parts
-                posts, lengths = _spans(self.start[self.first[term]], self.start[self.first[term + 1]])
-                weights = np.repeat(w, lengths)
-            own += np.bincount(self.at[posts], weights * self.weight[posts], len(own))
-            hits = np.flatnonzero(np.repeat(now, self.block)[: len(own)] & (own >= reached - 1e-9) & (own > 0))
+                first, last = self.start[first], self.start[last]
+                own += np.bincount(self.at.between(first, last), np.repeat(w, last - first) * self.weight.between(first, last), len(own))
+            # sums only grow, and those of the blocks that are ruled out stay under what was reached
+            reached = np.partition(own, -self.k)[-self.k] if len(own) >= self.k else 0.0
+            hits = np.flatnonzero((own >= reached - 1e-9) & (own > 0))
             near = np.round(own[hits], 9)
             keep = np.lexsort((hits, self.id_of[hits], -near))[: self.k]
             keep = keep[near[keep] > 0]
