@@ -28,8 +28,8 @@ from spanloom.llm.common import UNIT_BYTES, kept, stored, table, units_of
 
 END_ID = 2
 SEQUENCE = 4096
-#: Entries that a worker's stores of encoded words, as written and as encoded, may hold before they start anew.
-STORE, CORES = 800_000, 1_000_000
+#: Entries that a worker's store of encoded words, as written and as encoded, may hold before it starts anew. Executors have several workers, and each has a store.
+STORE = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,7 +56,7 @@ def _encoder(path: str) -> Callable[[str], bytes]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    tok, store, cores = Tokenizer.from_file(path), {}, {}
+    tok, store = Tokenizer.from_file(path), {}
     specials = tuple(t.content for t in tok.get_added_tokens_decoder().values())
 
     def ids(words: list[str]) -> list[bytes]:
@@ -65,7 +65,7 @@ def _encoder(path: str) -> Callable[[str], bytes]:
     marks = dict(zip(".,", ids([".", ","]), strict=True))
 
     def core(word: str) -> tuple[str, bytes]:
-        """A word without its last mark, which is a token of its own after a letter; ASCII in lower case, as the normaliser has it."""
+        """A word without its last mark, which is a token of its own after a letter; ASCII in lower case, as the normaliser has it. It is its own core, so one store holds both."""
         end = b""
         if len(word) > 1 and word[-1] in marks and word[-2].isalpha():
             word, end = word[:-1], marks[word[-1]]
@@ -86,15 +86,12 @@ def _encoder(path: str) -> Callable[[str], bytes]:
 
     def learn(new: list[str]) -> None:
         made = {w: core(w) for w in new}
-        missing = {c for c, _ in made.values() if c not in cores}
-        if len(cores) + len(missing) > CORES:
-            cores.clear()
-            missing = {c for c, _ in made.values()}
+        missing = {c for c, _ in made.values() if c not in store}
         for kind, how in ((True, several), (False, ids)):
             part = [c for c in missing if c.isalpha() is kind]
             for s in range(0, len(part), 4096):
-                cores.update(zip(part[s : s + 4096], how(part[s : s + 4096]), strict=True))
-        store.update({w: cores[c] + end if end else cores[c] for w, (c, end) in made.items()})
+                store.update(zip(part[s : s + 4096], how(part[s : s + 4096]), strict=True))
+        store.update({w: store[c] + end if end else store[c] for w, (c, end) in made.items() if w != c})
 
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):  # they may stand inside or across words
@@ -102,7 +99,7 @@ def _encoder(path: str) -> Callable[[str], bytes]:
         words = SPACE.split(text) if any(c in text for c in APART) else text.split()
         new = [w for w in set(words) if w not in store]
         if new:
-            if len(store) + len(new) > STORE:
+            if len(store) + 2 * len(new) > STORE:  # words, and cores that no text has
                 store.clear()
                 new = list(set(words))
             learn(new)
