@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from spanloom.llm.common import new_path, prepare, table
+from spanloom.llm.common import new_path, prepare, release, table
 
 #: Language-model operators (classifiers, sketches, token packing) that SQL can't express.
 ORACLE_SQL = None
@@ -27,6 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty, and empty texts equal each other. Equal ids with different texts both stay. An empty table stays empty. Other columns are carried, whatever their names."""
     prepare(spark)
+    release(spark)  # what the stage before shuffled is written by now
     return exact_dedup.dedup(docs)
 
 
@@ -35,6 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts that are null or have no words are in no group and stay. Equal ids with texts that aren't near both stay. An empty table stays empty. Other columns are carried, whatever their names."""
     prepare(spark)
+    release(spark)  # what the stage before shuffled is written by now
     return near_dedup.first_of_groups(docs)
 
 
@@ -44,12 +46,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens and the domains' shares as their posterior. Repeated rows have equal copies. Without labels each row stays once. An empty table stays empty. Other
     columns are carried, whatever their names."""
     prepare(spark)
+    release(spark)  # what the stage before shuffled is written by now
     return mixing.mix(docs, table(spark, sf_dir, "labels"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences; repeated rows and equal ids are documents of their own, and null texts have the closing id alone. Of an empty table there are none."""
     prepare(spark)
+    release(spark)  # what the stage before shuffled is written by now
     return packing.pack(docs)
 
 

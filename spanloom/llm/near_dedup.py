@@ -303,8 +303,8 @@ def _late_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, comps: Da
     return pairs.groupBy("key", "i", "j").applyInArrow(_close, "a long, b long")
 
 
-def group_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each row's id, n and sketch, and the ids in company (node) with their components (comp). Both are stored; the tables between go once nothing reads them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stored(rows.mapInArrow(_sketches, _SKETCHED), "near-sketches")
     usable = found.filter("doc_id IS NOT NULL AND n > 0")
@@ -323,14 +323,26 @@ def group_rows(docs: DataFrame) -> DataFrame:
     links = stored(verified(stars, texts), "near-links")
     comps = components(links)
     sigs = usable.select("doc_id", "n", "sig", "bands").join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sigs = sigs.join(texts.groupBy("doc_id").agg(F.max(F.octet_length("norm")).alias("size")), "doc_id")
-    late = stored(_late_links(members, stored(sigs, "near-sigs"), texts, comps), "near-links")
-    comps = comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(late)
-    whole = components(comps.unionByName(alike))
+    sigs = stored(sigs.join(texts.groupBy("doc_id").agg(F.max(F.octet_length("norm")).alias("size")), "doc_id"), "near-sigs")
+    late = stored(_late_links(members, sigs, texts, comps), "near-links")
+    for done in (members, texts, links, sigs):
+        remove(done)
+    whole = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(late).unionByName(alike))
+    for done in (classes, comps, late):
+        remove(done)
+    return found, whole
+
+
+def _components_of(found: DataFrame, whole: DataFrame) -> DataFrame:
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(whole, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def group_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs."""
+    return _components_of(*_grouped(docs))
+
+
 def _normal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([normal(t) for t in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "norm"])
@@ -342,10 +354,13 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     Rows are numbered once, in files of their own, and grouped by their numbers, so equal ids of different texts don't meet."""
     (row,) = unused(docs.columns, "row")
     held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
-    groups = group_rows(held.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
+    found, whole = _grouped(held.select(F.col(row).alias("doc_id"), "text"))
+    groups = _components_of(found, whole).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
     several = groups.filter("row <> comp").select("comp").distinct()
     members = groups.join(several, "comp", "left_semi").join(held.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id")), "row")
     members = stored(members.select("comp", "row", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("place")), "near-members")
+    remove(found)
+    remove(whole)
     firsts = members.groupBy("comp").agg(F.min("place").alias("place"))
     gone = members.select("row").join(firsts.select(F.col("place.row").alias("row")), "row", "left_anti").withColumnRenamed("row", "gone")
     stay = held.join(gone, held[row] == gone["gone"], "left_anti")
