@@ -169,11 +169,11 @@ def fmt_ass(seconds: Column) -> Column:
 
 
 def ngrams(text: Column, size: int) -> Column:
-    words = F.split(stripped(F.lower(text)), "\\s+")
-    n = F.size(words) - size
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, size), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Runs of so many words in lower case, each as often as it comes. White space is that of \\s in SQL, which has no vertical tab."""
+    words = F.array_remove(F.split(F.lower(text), "[ \\t\\n\\f\\r]+"), "")
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+    # a lambda evaluates what it captures for each element: its parameter is the list of words, so the text is split once
+    return F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, runs(w)).otherwise(F.array().cast("array<string>"))))
 
 
 def fenced_json(text: Column) -> Column:

@@ -18,6 +18,7 @@ from spanloom.sources.relations import asr_segments, frames, table
 _ASR = """asr AS (SELECT conv_id AS video_id, turn AS seq, (s - length(text)) / 10e0 AS start, s / 10e0 AS "end", text, role
   FROM (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS s FROM conversations))"""
 _CJK = r"[\x{4e00}-\x{9fff}]"
+_HELD = 1 << 20  # bytes of a conversation whose n-grams are counted in one row
 
 
 def _segments(spark, sf_dir):
@@ -251,9 +252,18 @@ def numbered_lines(spark, sf_dir):
       SELECT conv_id, count(*) AS grams, count(DISTINCT gram) AS kinds FROM g GROUP BY 1"""
 )
 def ngram_repetition(spark, sf_dir):
-    """AGG03, PRJ45's n-grams: how many there are in a conversation, and of how many kinds."""
-    g = table(spark, sf_dir, "conversations").select("conv_id", F.explode(text.ngrams(F.col("text"), 3)).alias("gram"))
-    return g.groupBy("conv_id").agg(F.count("*").alias("grams"), F.countDistinct("gram").alias("kinds"))
+    """AGG03, PRJ45's n-grams: how many there are in a conversation, and of how many kinds.
+
+    A conversation's texts travel once and are counted in one row; n-grams travel alone in those that are too long for that."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "text")
+    long = F.broadcast(t.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("n")).filter(F.col("n") > _HELD).select(F.col("conv_id").alias("long")))
+    own = F.col("conv_id").eqNullSafe(F.col("long"))
+    held = t.join(long, own, "left_anti").groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
+    # the list of all is a lambda's parameter, so it is made once for all that is counted in it
+    full = F.filter(F.array(F.flatten(F.transform("texts", lambda x: text.ngrams(x, 3)))), lambda g: F.size(g) > 0)
+    counts = F.transform(full, lambda g: F.struct(F.size(g).cast("long").alias("grams"), F.size(F.array_distinct(g)).cast("long").alias("kinds")))
+    dealt = t.join(long, own, "left_semi").select("conv_id", F.explode(text.ngrams(F.col("text"), 3)).alias("gram"))
+    return held.select("conv_id", F.inline(counts)).unionByName(dealt.groupBy("conv_id").agg(F.count("*").alias("grams"), F.countDistinct("gram").alias("kinds")))
 
 
 @query(
